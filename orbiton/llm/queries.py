@@ -15,6 +15,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=False).drop("round_trip")
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from .token_output import token_corpus
+
+    return token_corpus(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, end_id=2, vocabulary=50_257)
+
+
+QUERIES = {f.__name__: f for f in (op5_token_binary, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
