@@ -23,6 +23,12 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_corpus(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, end_id=2, vocabulary=50_257)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_binary, op10_byte_bpe)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op5_token_binary, op6_quality_rules, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
