@@ -15,6 +15,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=False).drop("round_trip")
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80).drop("n_equal")
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -29,6 +35,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_binary, op6_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op5_token_binary, op6_quality_rules, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
