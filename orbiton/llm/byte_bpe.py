@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pre-tokens whose ids a Python worker remembers before it starts afresh.
-MEMO_ENTRIES = 400_000
+from .pretokens import PieceEncoder
+
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -23,8 +24,8 @@ class RankQueue:
     """A priority queue over merge ranks: three levels of 64-way bitmaps over buckets of positions.
 
     A bit of `leaf` says that a rank's bucket has positions; a bit of `inner` that a leaf word is not
-    zero; `top` the same of inner. The lowest rank is found by three find-first-set steps; a bucket
-    yields its leftmost position first.
+    zero; `top` the same of inner. The lowest rank is found by three find-first-set steps. Positions of
+    a bucket come out from the left.
     """
 
     def __init__(self, n_ranks: int):
@@ -39,26 +40,30 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        self.leaf[rank >> 6] |= 1 << (rank & 63)
-        self.inner[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
+        j = rank >> 6
+        word = self.leaf[j]
+        self.leaf[j] = word | 1 << (rank & 63)
+        if not word:
+            self.inner[j >> 6] |= 1 << (j & 63)
+            self.top |= 1 << (j >> 6)
 
     def pop(self) -> tuple[int, int]:
-        i = (self.top & -self.top).bit_length() - 1
+        top = self.top
+        i = (top & -top).bit_length() - 1
         word = self.inner[i]
         j = i << 6 | (word & -word).bit_length() - 1
-        word = self.leaf[j]
-        rank = j << 6 | (word & -word).bit_length() - 1
+        bits = self.leaf[j]
+        rank = j << 6 | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[j] = word = word & (word - 1)
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.leaf[j] = bits = bits & (bits - 1)
+        if not bits:
+            self.inner[i] = word = word & (word - 1)
             if not word:
-                self.inner[i] &= self.inner[i] - 1
-                if not self.inner[i]:
-                    self.top &= self.top - 1
-        return rank, position
+                self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Codec:
@@ -74,8 +79,8 @@ class Codec:
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
         # White_Space as the rank files' own library takes it, whatever `\s` is here.
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.memo = _Memo(self)
+        split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.pieces = PieceEncoder(split, lambda words: [array("I", self.merge(w.encode())).tobytes() for w in words])
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest rank first, leftmost on ties."""
@@ -84,67 +89,49 @@ class Codec:
         if whole is not None:
             return [whole]
         queue, get = self.queue, ranks.get
+        push, pop = queue.push, queue.pop
         following, previous, rank_at = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
                 rank_at[i] = r
-                queue.push(r, i)
+                push(r, i)
         while queue.top:
-            r, i = queue.pop()
+            r, i = pop()
             if rank_at[i] != r:  # a neighbour was merged since: stale
                 continue
             mid = following[i]
-            end = following[mid]
-            rank_at[mid] = -1
-            following[i] = end
+            following[i] = end = following[mid]
+            rank_at[mid] = rank_at[i] = -1
             if end < n:
                 previous[end] = i
                 r = get(piece[i : following[end]])
-                if r is None:
-                    rank_at[i] = -1
-                else:
+                if r is not None:
                     rank_at[i] = r
-                    queue.push(r, i)
-            else:
-                rank_at[i] = -1
-            p = previous[i]
-            if p >= 0:
+                    push(r, i)
+            if i:
+                p = previous[i]
                 r = get(piece[p:end])
                 if r is None:
                     rank_at[p] = -1
                 elif r != rank_at[p]:
                     rank_at[p] = r
-                    queue.push(r, p)
+                    push(r, p)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : following[i]]])
-            i = following[i]
+            j = following[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return self.pieces.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Memo(dict):
-    """Ids of pre-tokens that were met before, at most MEMO_ENTRIES of them."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.merge(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -161,7 +148,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Returns id_col, ids (binary, little-endian unsigned 32-bit; left out without with_ids), n_tokens long,
     ids_sha256, decoded_sha256 string and round_trip boolean (decoded bytes equal the text's). A null or
     empty text has no ids. Each row of docs, repeated or not, gives one row; other columns are ignored.
-    Only a row at a time is held; nothing is shuffled, so rows of any skew cost the same.
+    Texts are held a batch at a time; nothing is shuffled, so rows of any skew cost the same.
     """
     names = [id_col] + (["ids"] if with_ids else [])
 
@@ -169,9 +156,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         c = codec(ranks_path, pattern)
         for batch in batches:
             ids, sizes, sums, back, same = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                coded = c.encode(text)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for text, coded in ((t, x) for i in range(0, len(texts), 256) for t, x in zip(texts[i : i + 256], c.encode(texts[i : i + 256]))):
                 decoded = c.decode(coded)
                 if with_ids:
                     ids.append(coded)

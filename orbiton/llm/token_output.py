@@ -18,9 +18,9 @@ file to write anew under the writer's commit protocol.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .common import drop_spool, shared_dir, spool
+from .pretokens import PieceEncoder
 
 SEGMENT_IDS = 1 << 18
-#: Pre-tokens whose ids a Python worker remembers before it starts afresh.
-MEMO_ENTRIES = 400_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -40,78 +39,72 @@ _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    size = (v > 0xFF).view(np.uint8) + 1
+    width = 2
+    if len(v) and v.max() > 0xFFFF:
+        size += (v > 0xFFFF).view(np.uint8) + (v > 0xFFFFFF)
+        width = 4
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = size - 1
     c = codes.reshape(-1, 4)
     control = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = np.arange(width, dtype=np.uint8) < size[:, None]
+    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :width][keep].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values that pack() coded, by one table lookup of their lengths."""
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    width = 2 if not n or size.max() <= 2 else 4
+    out = np.zeros((n, width), np.uint8)
+    out[np.arange(width, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{width}").reshape(-1).astype("<u4", copy=False)
 
 
-class Encoder:
-    """Ids by a tokenizers file. Pre-tokens of plain text are encoded once and remembered.
+def _load(path: str, pattern: str) -> PieceEncoder:
+    import regex
+    from tokenizers import Tokenizer
 
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens joined.
-    Texts with characters that pattern engines may class differently go to the library whole.
-    """
-
-    _PLAIN = re.compile("[\\t-\\r -~¡-ɏ‐-‧‰-⁞₠-₿]*")
-
-    def __init__(self, path: str, pattern: str):
-        import regex
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    bytes_of = lambda e: array("I", e.ids).tobytes()
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
+    def encode_words(words: list[str]) -> list[bytes]:
+        return [bytes_of(e) for i in range(0, len(words), 20_000) for e in tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self.split(x) if self._PLAIN.fullmatch(x) else None for x in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for ws in words if ws for w in ws if w not in memo})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join([memo[w] for w in ws]) for x, ws in zip(texts, words)]
+    # Texts with characters that pattern engines may class differently go to the library whole.
+    return PieceEncoder(regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str) -> PieceEncoder:
+    """One encoder by a tokenizers file for each worker; ids are unsigned 32-bit."""
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
+        _encoders[path, pattern] = _load(path, pattern)
     return _encoders[path, pattern]
 
 
-_RAW = "part int, seq int, first long, n long, ids_of binary, lengths binary, ids binary"
+_RAW = "part int, seq int, first long, n long, ids_of binary, lengths binary, ids binary, counts binary"
 
 
-def _encode_sorted(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
-    """Segments of plain ids; the documents ascend by (part, seq) and within a segment."""
+def _encode_sorted(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int) -> DataFrame:
+    """Segments of plain ids; the documents ascend by (part, seq) and within a segment. counts: of each id, in a part's last segment."""
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         enc, part, seq, first = encoder(tokenizer_path, pattern), TaskContext.get().partitionId(), 0, 0
         keys, held, size = [], [], 0
+        counts = np.zeros(vocabulary, np.int64)
 
-        def segment():
-            data = b"".join(held)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([np.array(keys, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) >> 2 for x in held], "<u4").tobytes()], pa.binary()), pa.array([data], pa.binary())], ["part", "seq", "first", "n", "ids_of", "lengths", "ids"])
+        def segment(last=False):
+            ids = np.frombuffer(b"".join(held), "<u4")
+            counts[:] += np.bincount(ids, minlength=vocabulary)
+            data = ids.astype(kind).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([np.array(keys, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) >> 2 for x in held], "<u4").tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([counts.tobytes() if last else None], pa.binary())], ["part", "seq", "first", "n", "ids_of", "lengths", "ids", "counts"])
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -124,8 +117,8 @@ def _encode_sorted(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
                         yield segment()
                         seq, first = seq + 1, first + size
                         keys, held, size = [], [], 0
-        if keys:
-            yield segment()
+        if keys or seq:
+            yield segment(last=True)
 
     key = F.col("doc_id")
     return docs.select("doc_id", "text").where(key.isNotNull()).repartitionByRange(key).sortWithinPartitions("doc_id", "text").mapInArrow(run, _RAW)
@@ -137,13 +130,13 @@ def _rank_order(raw: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=size)
+            for counts in batch.column(0):
+                total += np.frombuffer(counts.as_buffer(), np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
     total = np.zeros(size, np.int64)
-    for r in raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r.id] = r.n
     return np.argsort(-total, kind="stable").astype("<u4")
 
@@ -156,19 +149,19 @@ def write_token_corpus(docs: DataFrame, path: str, tokenizer_path: str, pattern:
     writes an empty corpus. One shuffle, by doc_id range.
     """
     spark = docs.sparkSession
-    raw = spool(_encode_sorted(docs, tokenizer_path, pattern, end_id), "zstd")
+    raw = spool(_encode_sorted(docs, tokenizer_path, pattern, end_id, vocabulary), "zstd")
     order = _rank_order(raw, vocabulary)
     rank_of = np.empty(vocabulary, "<u4")
     rank_of[order] = np.arange(vocabulary, dtype="<u4")
-    ranks = spark.sparkContext.broadcast(rank_of)
+    ranks, kind = spark.sparkContext.broadcast(rank_of), "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                control, data = pack(ranks.value[np.frombuffer(batch.column(6)[i].as_buffer(), "<u4")])
+                control, data = pack(ranks.value[np.frombuffer(batch.column(6)[i].as_buffer(), kind)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(6)), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "seq", "first", "n", "ids_of", "lengths", "control", "data"])
 
-    raw.mapInArrow(run, "part int, seq int, first long, n long, ids_of binary, lengths binary, control binary, data binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    raw.drop("counts").mapInArrow(run, "part int, seq int, first long, n long, ids_of binary, lengths binary, control binary, data binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(order.tobytes()),)], "id_of binary").coalesce(1).write.parquet(f"{path}/ranks")
     drop_spool(raw)
     return path
