@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import read
 from .mixing import SQL as MIXING_SQL
@@ -28,6 +28,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_fingerprint import edited_likeness
+
+    return edited_likeness(read(spark, sf_dir, "documents")).withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -42,6 +48,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_source_mixing, op5_token_binary, op6_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_source_mixing, op4_lz_fingerprint, op5_token_binary, op6_quality_rules, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": MIXING_SQL}
