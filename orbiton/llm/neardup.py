@@ -6,11 +6,12 @@ coordinate stays empty. A coordinate keeps the least (round, value). A document
 that fills its last coordinate, so a large set costs one or two hashes an element.
 
 Search: the sketch is cut into bands; a band's values are a bucket. Equal sets are one node from the
-start. In each of STAR_ROUNDS rounds one node of each bucket (another each time) is compared with all
-others of its bucket, and what links is joined into components; then pairs of a bucket whose nodes are
-still in different components are compared. A bucket is thus compared in full, save pairs that are
-joined already, and a large group of near copies gives stars and not squares. Links are confirmed on
-full sets.
+start. In two star rounds one node of each bucket is compared with all others of it, and what links is
+joined into components: first the least node, then the one with the least share of own shingles (those
+no other node of an undecided bucket has), the middle of a group of near copies. Then pairs of a bucket
+whose nodes are still in different components are compared, save those that own shingles rule out:
+the intersection is at most what is left of either set without them. A bucket is thus compared in full
+but for pairs that are joined or can't be links. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from .common import U64, Words, blocks, drop_spool, encoded, mix64, spool
 T = 128
 #: Rows of a band. At similarity 0.8 a pair shares no band of 4 of 128 coordinates with probability under 1e-7.
 BAND_ROWS = 4
-STAR_ROUNDS = 3
 
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -124,6 +124,20 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return wide.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _own(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, own long): shingles of a node that no other of the nodes has. Counted by shingle, in the cluster."""
+
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(encoded(batch.column(1)), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    reps = nodes.select("rep").distinct()
+    sets = texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>")
+    single = sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, of every node with an edge.
 
@@ -165,31 +179,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal"))
     nodes = info.join(classes, "set_id").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["rep"])
-    placed = nodes.select("rep", "n", F.explode("bands").alias("bucket"))
+    placed = nodes.select("rep", "n", F.explode("bands").alias("bucket"), "bands")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     placed = spool(placed.join(shared, "bucket", "left_semi"))
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
     links, seen, comp = None, None, None
-    for r in range(STAR_ROUNDS + 1):
-        held = placed if comp is None else placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        held = held.withColumn("comp", F.col("rep") if comp is None else F.coalesce("component", "rep")).select("rep", "n", "bucket", "comp")
+    undecided = placed.withColumns({"comp": F.col("rep"), "own": F.lit(0).cast("long")})
+    for stage in ("least", "middle", "pairs"):
         if comp is not None:
+            held = placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
             mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-            held = spool(held.join(mixed, "bucket", "left_semi"))
-        other = held.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        if r < STAR_ROUNDS:
-            other = held.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(F.xxhash64("rep", F.lit(r)) if r else F.col("rep"), "rep")).alias("s")).select("bucket", F.col("s.rep").alias("rep2"), F.col("s.n").alias("n2"), F.col("s.comp").alias("comp2"))
-            on = F.col("rep") != F.col("rep2")
-        else:
+            held = held.join(mixed, "bucket", "left_semi")
+            if stage == "middle":
+                held = spool(held)
+                placed = held.drop("comp").join(_own(held, texts, shingle), "rep", "left").fillna(0, ["own"])
+                undecided = placed = spool(placed.join(held.select("rep", "comp").distinct(), "rep"))
+                placed = placed.drop("comp")
+            else:
+                undecided = spool(held)
+        if stage == "pairs":
+            other = undecided
             on = F.col("rep") > F.col("rep2")
-        pairs = held.join(other, "bucket").where(on & (F.col("comp") != F.col("comp2")) & near(F.col("n"), F.col("n2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        else:
+            order = F.struct("rep") if stage == "least" else F.struct(F.col("own") / F.col("n"), F.col("rep"))
+            other = undecided.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "comp", "own", "bands"), order).alias("s")).select("bucket", "s.*")
+            on = F.col("rep") != F.col("rep2")
+        other = other.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "own", "bands")))
+        # What the sets can share at most, and the first bucket that two nodes share, so that a pair comes once.
+        most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+        able = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
+        first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
+        pairs = undecided.join(other, "bucket").where(on & (F.col("comp") != F.col("comp2")) & able & (first if stage == "pairs" else F.lit(True)))
+        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        if stage != "pairs":
+            pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = spool(pairs)
         if not pairs.limit(1).count():
-            if r < STAR_ROUNDS:
-                continue
-            break
+            continue
         found = spool(_linked(pairs, texts, shingle, percent))
         links = found if links is None else links.union(found)
         seen = pairs if seen is None else seen.union(pairs)
