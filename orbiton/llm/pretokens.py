@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 #: Entries that each of the two memos of a worker keeps in a generation; two generations are held.
-CHUNKS, WORDS = 450_000, 200_000
+CHUNKS, WORDS = 400_000, 350_000
 #: Longer pieces are not remembered.
 LONGEST = 40
 
@@ -49,11 +49,12 @@ class PieceEncoder:
         cut = [self.split(x) for x in texts]
         new = self.words.missing(set().union(*cut))
         known = self.words.young
-        fresh = dict(zip(new, self.encode_words(new)))
-        long = {w: fresh.pop(w) for w in new if len(w) > LONGEST}
-        known.update(fresh)
-        get = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
-        return [b"".join(map(get, ws)) for ws in cut]
+        known.update(zip(new, self.encode_words(new)))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -70,12 +71,12 @@ class PieceEncoder:
         known = self.chunks.young
         coded = self._by_words([p[0] for _, p in plain] + [" " + w for w in new])
         heads = coded[: len(plain)]
-        fresh = dict(zip(new, coded[len(plain) :]))
-        long = {w: fresh.pop(w) for w in new if len(w) > LONGEST}
-        known.update(fresh)
-        get = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        known.update(zip(new, coded[len(plain) :]))
         for (i, p), head in zip(plain, heads):
-            out[i] = head + b"".join(map(get, p[1:]))
+            out[i] = head + b"".join(map(known.__getitem__, p[1:]))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
         if other and self.whole:
             for i in other:
                 out[i] = self.whole(texts[i])

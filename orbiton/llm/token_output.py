@@ -70,8 +70,14 @@ def _load(path: str, pattern: str) -> PieceEncoder:
     tokenizer.encode_special_tokens = True
     bytes_of = lambda e: array("I", e.ids).tobytes()
 
+    # The library's model takes a pre-token with each byte as one visible character: those of Latin-1 that
+    # are visible stand for themselves, the others follow from U+0100 on.
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(visible)))}
+    tokenize = tokenizer.model.tokenize
+
     def encode_words(words: list[str]) -> list[bytes]:
-        return [bytes_of(e) for i in range(0, len(words), 20_000) for e in tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]).tobytes() for w in words]
 
     # Texts with characters that pattern engines may class differently go to the library whole.
     return PieceEncoder(regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)))
