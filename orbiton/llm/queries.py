@@ -34,6 +34,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lz_fingerprint import edited_likeness
 
@@ -54,6 +60,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_source_mixing, op4_lz_fingerprint, op5_token_binary, op6_quality_rules, op9_suffix_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_source_mixing, op3_pii_surrogates, op4_lz_fingerprint, op5_token_binary, op6_quality_rules, op9_suffix_dedup, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": MIXING_SQL}
