@@ -28,16 +28,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BASE, _LETTERS, U64, _power_table, drop_spool, mix64, spool
+from .common import _BASE, _LETTERS, U64, _power_table, drop_spool, free_shuffles, mix64, spool
 
 LENGTH = 50
 #: Bytes that an anchor hashes; a window holds LENGTH - K + 1 of them.
-K = 16
+K = 20
 #: Bytes of text in a chunk (a longer document is a chunk of its own) and in one numpy pass.
-CHUNK_BYTES = 12 << 20
-PIECE = 3 << 20
+CHUNK_BYTES = 8 << 20
+PIECE = 1 << 20
 #: Text bytes for one bucket of anchors.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+#: Symbols that one suffix array orders; anchors' strings are packed into arrays of about so many.
+ORDERED = 1 << 17
 
 _PLACE = U64((1 << 22) - 1)
 
@@ -145,6 +147,15 @@ def _pieces(texts: list[bytes]):
         yield block
 
 
+def string_hashes(text: np.ndarray, first: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    """64 bits of each string of text from the places first."""
+    n = len(text)
+    up, down = _power_table("up", _BASE, n + 1), _power_table("down", pow(_BASE, -1, 1 << 64), n + 1)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(_LETTERS[text] * up[:n], out=total[1:])
+    return mix64((total[first + sizes] - total[first]) * down[first])
+
+
 class Segments:
     """The segments of one block: anchor and content hashes, document number, first window and number of windows."""
 
@@ -155,7 +166,10 @@ class Segments:
         padded = self.raw + bytes(8)
         eight = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
         m = n - K + 1
-        h = mix64(eight[:m] * U64(0x9E3779B97F4A7C15) + mix64(eight[8 : 8 + m]))
+        h = eight[:m] * U64(0x9E3779B97F4A7C15)
+        for j in sorted({*range(8, K - 7, 8), K - 8}):
+            h = mix64(h ^ eight[j : j + m]) * U64(0x9E3779B97F4A7C15)
+        h = mix64(h)
         low = (h & ~_PLACE) | np.arange(m, dtype=U64)
         # Least of each LENGTH - K + 1 neighbours, by doubling.
         width, need = 1, LENGTH - K + 1
@@ -178,24 +192,11 @@ class Segments:
         ok = first <= last[owner]
         self.first, self.count, owner = first[ok], count[ok], owner[ok]
         self.anchor = h[place[self.first]]
-        up, down = _power_table("up", _BASE, n + 1), _power_table("down", pow(_BASE, -1, 1 << 64), n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_LETTERS[buf] * up[:n], out=total[1:])
-        end = self.first + self.count + LENGTH - 1
-        self.content = mix64((total[end] - total[self.first]) * down[self.first] ^ self.anchor)
+        self.content = string_hashes(buf, self.first, self.count + LENGTH - 1)
         self.doc = np.array([i for i, _, _ in block])[owner]
         self.window = self.first - start[owner] + np.array([a for _, a, _ in block])[owner]
 
 
-def window_hashes(text: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 bits of each LENGTH-byte string of text from the places first."""
-    n = len(text)
-    up, down = _power_table("up", _BASE, n + 1), _power_table("down", pow(_BASE, -1, 1 << 64), n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_LETTERS[text] * up[:n], out=total[1:])
-    return mix64((total[first + LENGTH] - total[first]) * down[first])
-
-
 def least_by_window(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     """For each text, the least of docs over all texts that hold its window, window by window."""
     symbols: list[int] = []
@@ -307,7 +308,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def _segments(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, and of the chunk's distinct segments of repeated anchors: anchor, content, low and high (doc_id) and sizes, 64-bit, and their bytes, compressed."""
+    """bucket, chunk, and of the chunk's distinct segments of repeated anchors: anchor (64-bit), and compressed low, high (doc_id) and sizes (64-bit) and their bytes."""
     asked = chunks.join(anchors.groupBy("chunk").agg(F.collect_list("anchors").alias("anchors")), "chunk")
 
     def run(batches):
@@ -337,17 +338,46 @@ def _segments(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
                 c = content[order]
                 at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
                 low, high, one = np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), order[at]
-                anchor, content = anchor[one], content[one]
+                anchor = anchor[one]
                 for b, p in enumerate(_by_bucket(anchor, buckets)):
                     if len(p):
                         own = [data[i] for i in one[p]]
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), *(pa.array([x[p].tobytes()], pa.binary()) for x in (anchor, content, low, high)), pa.array([np.array([len(x) for x in own], "<i8").tobytes()], pa.binary()), pa.array([_squeeze(b"".join(own))], pa.binary())], ["bucket", "chunk", "anchor", "content", "low", "high", "sizes", "data"])
-
-    return asked.select("chunk", "doc_ids", "sizes", "texts", "anchors").mapInArrow(run, "bucket int, chunk string, anchor binary, content binary, low binary, high binary, sizes binary, data binary")
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([anchor[p].tobytes()], pa.binary()), *(pa.array([_squeeze(x)], pa.binary()) for x in (low[p].tobytes(), high[p].tobytes(), np.array([len(x) for x in own], "<i8").tobytes(), b"".join(own)))], ["bucket", "chunk", "anchor", "low", "high", "sizes", "data"])
+
+    return asked.select("chunk", "doc_ids", "sizes", "texts", "anchors").mapInArrow(run, "bucket int, chunk string, anchor binary, low binary, high binary, sizes binary, data binary")
+
+
+def _packs(strings: list[bytes], windows: list[np.ndarray]) -> list[list[int]]:
+    """Numbers of the strings, packed so that strings with a window number in common are together, about ORDERED bytes a pack."""
+    parent = list(range(len(strings)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    holder: dict[int, int] = {}
+    for i, numbers in enumerate(windows):
+        for w in numbers.tolist():
+            j = holder.setdefault(w, i)
+            if j != i:
+                parent[root(i)] = root(j)
+    together: dict[int, list[int]] = {}
+    for i in range(len(strings)):
+        together.setdefault(root(i), []).append(i)
+    out, size = [], ORDERED
+    for own in together.values():
+        if size >= ORDERED:
+            out.append([])
+            size = 0
+        out[-1] += own
+        size += sum(len(strings[i]) for i in own)
+    return out
 
 
 def _classes(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """least_by_window() of an anchor's distinct segments.
+    """least_by_window() of the distinct segments of several anchors, those of an anchor together.
 
     Windows whose hash no other segment shares have no twin; what is left of the segments is far less and
     mostly alike, and is put in suffix order once for each distinct string.
@@ -358,7 +388,7 @@ def _classes(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     counts = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    h = window_hashes(whole, start[owner] + place)
+    h = string_hashes(whole, start[owner] + place, LENGTH)
     _, which, seen = np.unique(h, return_inverse=True, return_counts=True)
     shared = seen[which] > 1
     least = np.array(docs, np.int64)[owner]
@@ -370,10 +400,10 @@ def _classes(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
         s = int(start[owner[a]] + place[a])
         runs.setdefault(whole[s : s + b - a + LENGTH - 1].tobytes(), []).append((a, b))
     strings = list(runs)
-    if strings:
-        low = [min(docs[owner[a]] for a, _ in runs[x]) for x in strings]
-        for x, values in zip(strings, least_by_window(strings, low)):
-            for a, b in runs[x]:
+    low = [min(docs[owner[a]] for a, _ in runs[x]) for x in strings]
+    for pack in _packs(strings, [which[a:b] for a, b in (runs[x][0] for x in strings)]):
+        for i, values in zip(pack, least_by_window([strings[i] for i in pack], [low[i] for i in pack])):
+            for a, b in runs[strings[i]]:
                 least[a:b] = values
     return np.split(least, np.cumsum(counts)[:-1])
 
@@ -385,11 +415,13 @@ def _least(table: pa.Table) -> pa.Table:
     and windows the least doc_id of each.
     """
     chunk = table["chunk"].to_pylist()
-    columns = {c: [np.frombuffer(x, U64 if c in ("anchor", "content") else "<i8") for x in table[c].to_pylist()] for c in ("anchor", "content", "low", "high", "sizes")}
+    columns = {c: [np.frombuffer(_restore(x), "<i8") for x in table[c].to_pylist()] for c in ("low", "high", "sizes")}
+    columns["anchor"] = [np.frombuffer(x, U64) for x in table["anchor"].to_pylist()]
     number = np.repeat(np.arange(len(chunk)), [len(x) for x in columns["anchor"]])
-    anchor, content, low, high, sizes = (np.concatenate(columns[c]) for c in ("anchor", "content", "low", "high", "sizes"))
+    anchor, low, high, sizes = (np.concatenate(columns[c]) for c in ("anchor", "low", "high", "sizes"))
     data = b"".join(_restore(x) for x in table["data"].to_pylist())
     place = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    content = string_hashes(np.frombuffer(data, np.uint8), place, sizes)
     order = np.lexsort((content, anchor))
     a, c = anchor[order], content[order]
     new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (a[1:] != a[:-1]))))
@@ -398,15 +430,15 @@ def _least(table: pa.Table) -> pa.Table:
     windows: dict[int, np.ndarray] = {}
     heads = a[new]
     group = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
-    for i, j in zip(group.tolist(), [*group[1:].tolist(), len(new)]):
-        if j - i > 1:
-            ones = order[new[i:j]]
-            for k, found in zip(range(i, j), _classes([data[p : p + n] for p, n in zip(place[ones].tolist(), sizes[ones].tolist())], least[i:j].tolist())):
-                if (found == found[0]).all():
-                    least[k] = found[0]
-                else:
-                    windows[k] = found
-                    least[k] = found.min()
+    several = np.repeat(np.diff(np.append(group, len(new))) > 1, np.diff(np.append(group, len(new))))
+    several = np.flatnonzero(several)
+    if len(several):
+        ones = order[new[several]]
+        strings = [data[p : p + n] for p, n in zip(place[ones].tolist(), sizes[ones].tolist())]
+        for k, found in zip(several.tolist(), _classes(strings, least[several].tolist())):
+            least[k] = found.min()
+            if not (found == found[0]).all():
+                windows[k] = found
     tell = least[kind] < high[order]
     out = {"chunk": [], "content": [], "value": [], "counts": [], "windows": []}
     by = np.argsort(number[order], kind="stable")
@@ -479,7 +511,11 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     buckets = max(12, -(-total // BUCKET_BYTES))
     sent = _anchors(chunks, buckets)
     anchors = spool(sent.groupBy("bucket").applyInArrow(_repeated, "chunk string, anchors binary"), "uncompressed")
+    del sent
+    free_shuffles(docs.sparkSession)
     segments = _segments(chunks, anchors, buckets)
     least = spool(segments.groupBy("bucket").applyInArrow(_least, "chunk string, content binary, value binary, counts binary, windows binary"))
+    del segments
     drop_spool(anchors)
+    free_shuffles(docs.sparkSession)
     return _cut(chunks, least, with_kept)
