@@ -8,6 +8,12 @@ from .common import read
 from .mixing import SQL as MIXING_SQL
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_tree import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -66,6 +72,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_source_mixing, op3_pii_surrogates, op4_lz_fingerprint, op5_token_binary, op6_quality_rules, op8_language_id, op9_suffix_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_source_mixing, op3_pii_surrogates, op4_lz_fingerprint, op5_token_binary, op6_quality_rules, op7_html_extraction, op8_language_id, op9_suffix_dedup, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": MIXING_SQL}
