@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Words, blocks, drop_spool, encoded, mix64, spool
+from .common import U64, Words, blocks, drop_spool, encoded, free_shuffles, mix64, spool
 
 T = 128
 #: Rows of a band. At similarity 0.8 a pair shares no band of 4 of 128 coordinates with probability under 1e-7.
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             held = held.join(mixed, "bucket", "left_semi")
             if stage == "middle":
                 held = spool(held)
+                free_shuffles(docs.sparkSession)
                 placed = held.drop("comp").join(_own(held, texts, shingle), "rep", "left").fillna(0, ["own"])
                 undecided = placed = spool(placed.join(held.select("rep", "comp").distinct(), "rep"))
                 placed = placed.drop("comp")
@@ -221,6 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         links = found if links is None else links.union(found)
         seen = pairs if seen is None else seen.union(pairs)
         comp = spool(components(links))
+        free_shuffles(docs.sparkSession)
     base = info.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     if comp is not None:
         base = base.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
