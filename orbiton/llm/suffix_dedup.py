@@ -224,7 +224,7 @@ def least_by_window(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _restore(data: bytes) -> bytes:
