@@ -1,4 +1,314 @@
-"""The registered queries of the engine and their DuckDB SQL."""
+"""The registered queries of the engine, each over whole tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..config import PreprocessMode, VoronoiConfig
+from ..functions import sphere as S
+from ..functions.sphere import rounded as r6
+from ..operators import build, locate as L, quality as Q, resolution as R, validate as V, weld as W
+from ..operators.diagram import SphericalVoronoi
+from ..sources import generators as G
+from ..sources.packed import embeddings_as_sites
+
+#: Merge radius of the welding queries, edge threshold of the short-edge queries, and cells along a cube edge.
+MERGE, SHORT, RES = 0.02, 0.02, 4
+WORLD = S.SphereEmbedding((1.5, -2.0, 0.25), 3.0)
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings_as_sites(_embeddings(spark, sf_dir))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings_as_sites(_embeddings(spark, sf_dir), 4).withColumnRenamed("site_id", "query_id")
+
+
+@lru_cache(maxsize=8)
+def _cached(app: str, sf_dir: str, merge: float | None) -> SphericalVoronoi:
+    spark = SparkSession.getActiveSession()
+    config = VoronoiConfig(PreprocessMode.MERGE_WITHIN, merge) if merge else VoronoiConfig()
+    return build.compute(_sites(spark, sf_dir), config)
+
+
+def diagram(spark: SparkSession, sf_dir: str, merge: float | None = None) -> SphericalVoronoi:
+    """The diagram of a folder's embeddings; its tables are written once for a session."""
+    return _cached(spark.sparkContext.applicationId, sf_dir, merge)
+
+
+def canonical_sites(spark, d):
+    return _sites(spark, d).withColumnRenamed("site_id", "vec_id")
+
+
+def invalid_sites(spark, d):
+    s = _sites(spark, d)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.sum((~S.finite(S.vector())).cast("bigint")).alias("not_finite"), F.sum((~S.is_stored_point(S.vector())).cast("bigint")).alias("off_sphere"))
+
+
+def project_world(spark, d):
+    p = _embeddings(spark, d).select("vec_id", *((F.col("embedding")[i].cast("double") * 10).alias(n) for i, n in enumerate("xyz")))
+    return WORLD.project(p).select("vec_id", *(r6(F.col(f"u{n}"), 9).alias(n) for n in "xyz"))
+
+
+def unit_to_world(spark, d):
+    return _sites(spark, d).select(F.col("site_id").alias("vec_id"), *(r6(c, 9).alias(n) for c, n in zip(WORLD.to_world(S.vector()), "xyz")))
+
+
+def cube_cells(spark, d):
+    face, iu, iv, cell = S.cell_of(S.vector(), RES)
+    return _sites(spark, d).select(F.col("site_id").alias("vec_id"), face.cast("int").alias("face"), iu.alias("iu"), iv.alias("iv"), cell.alias("cell"))
+
+
+def cell_occupancy(spark, d):
+    return cube_cells(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def occupancy_stats(spark, d):
+    return cell_occupancy(spark, d).agg(F.max("n").alias("most"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean_by_site"))
+
+
+def weld_pairs(spark, d):
+    return W.near_pairs(_sites(spark, d), "site_id", MERGE).select("a", "b")
+
+
+def weld_map(spark, d):
+    s = _sites(spark, d)
+    return W.classes(s, W.near_pairs(s, "site_id", MERGE))
+
+
+def weld_report(spark, d):
+    m = weld_map(spark, d)
+    return m.agg(F.count(F.lit(1)).alias("original_points"), F.countDistinct("canonical_id").alias("effective_points")).withColumn("num_merged", F.col("original_points") - F.col("effective_points"))
+
+
+def knn8(spark, d):
+    return L.knn(_sites(spark, d), 8).select("site_id", "rank", "neighbor_id", r6(F.col("dot"), 9).alias("dot"))
+
+
+def locate(spark, d):
+    return L.SphereLocator(_sites(spark, d)).locate(_queries(spark, d)).select("query_id", "site_id")
+
+
+def locate_counts(spark, d):
+    return locate(spark, d).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def delaunay_triangles(spark, d):
+    t = diagram(spark, d).triangles().select(F.array_sort(F.array("a", "b", "c")).alias("t"))
+    return t.select(*(F.col("t")[i].alias(n) for i, n in enumerate("abc")))
+
+
+def welded_triangles(spark, d):
+    t = diagram(spark, d, MERGE).triangles().select(F.array_sort(F.array("a", "b", "c")).alias("t"))
+    return t.select(*(F.col("t")[i].alias(n) for i, n in enumerate("abc")))
+
+
+def delaunay_edges(spark, d):
+    return diagram(spark, d).adjacent_pairs()
+
+
+def adjacency(spark, d):
+    return diagram(spark, d).adjacency().select("cell_id", "neighbor_id")
+
+
+def degree_histogram(spark, d):
+    return diagram(spark, d).cells().groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+
+
+def voronoi_vertices(spark, d):
+    return diagram(spark, d).vertices.select("g0", "g1", "g2", *(r6(F.col(c)).alias(c) for c in "xyz"))
+
+
+def cell_area(spark, d):
+    return diagram(spark, d).cell_area().select("site_id", r6(F.col("area")).alias("area"))
+
+
+def area_by_label(spark, d):
+    labels = _embeddings(spark, d).select(F.col("vec_id").alias("site_id"), "label")
+    return diagram(spark, d).cell_area().join(labels, "site_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("area")).alias("area"))
+
+
+def area_total(spark, d):
+    return diagram(spark, d).cell_area().agg(r6(F.sum("area")).alias("area"))
+
+
+def cell_centroid(spark, d):
+    return diagram(spark, d).cell_centroid().select("site_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
+
+
+def lloyd_step(spark, d):
+    return diagram(spark, d).lloyd_step().select("site_id", *(r6(F.col(c).cast("double"), 5).alias(c) for c in "xyz"))
+
+
+def validation_report(spark, d):
+    return V.counters(diagram(spark, d))
+
+
+def edge_lengths(spark, d):
+    return diagram(spark, d).edge_lengths().select("a", "b", r6(F.col("chord")).alias("chord"))
+
+
+def short_edges(spark, d):
+    e = diagram(spark, d).edge_lengths()
+    return e.where(F.col("chord") <= SHORT).select("a", "b", r6(F.col("chord")).alias("chord"))
+
+
+def site_chords(spark, d):
+    return Q.edge_residuals(diagram(spark, d)).select("a", "b", r6(F.col("site_chord")).alias("chord"))
+
+
+def quality_summary(spark, d):
+    s = Q.stats(Q.edge_residuals(diagram(spark, d)), "site_chord")
+    return s.select("n", *(r6(F.col(c)).alias(c) for c in ("max", "mean", "p95", "p99")))
+
+
+def residuals_small(spark, d):
+    """Counts of edges and vertices whose ends leave the owners' bisectors by more than 1e-9."""
+    v = Q.vertex_residuals(diagram(spark, d)).agg(F.count(F.lit(1)).alias("vertices"), F.sum((F.col("residual") > 1e-9).cast("bigint")).alias("vertices_off"))
+    e = Q.edge_residuals(diagram(spark, d)).agg(F.count(F.lit(1)).alias("edges"), F.sum((F.col("cross_track") > 1e-6).cast("bigint")).alias("edges_off"))
+    return v.crossJoin(F.broadcast(e))  # one row each
+
+
+def sampled_ownership(spark, d):
+    return Q.sampled_ownership(diagram(spark, d)).select("site_id", (F.col("gap") <= 1e-9).alias("owned"))
+
+
+def effective_index(spark, d):
+    return diagram(spark, d, MERGE).effective()
+
+
+def fibonacci_sites(spark, d):
+    return G.fibonacci(spark, 1_000).select("site_id", *(r6(F.col(c).cast("double"), 5).alias(c) for c in "xyz"))
+
+
+def simplified_mesh(spark, d):
+    m = R.simplify(diagram(spark, d), SHORT)
+    report, links = m.validate()
+    return spark.createDataFrame([(m.report["candidates"], m.report["contracted"], report.num_cells, report.used_vertices, report.num_edges, report.euler_characteristic, links)], "candidates long, contracted long, cells long, vertices long, edges long, euler long, pinched long")
+
+
+def elided_mesh(spark, d):
+    m = R.elide_zero_edges(diagram(spark, d))
+    report, links = m.validate()
+    return spark.createDataFrame([(m.report["zero_edges"], report.num_cells, report.used_vertices, report.num_edges, report.euler_characteristic, links)], "zero_edges long, cells long, vertices long, edges long, euler long, pinched long")
+
+
+def fibonacci_diagram(spark, d):
+    return V.counters(build.compute(G.fibonacci(spark, 10_000)))
+
+
+def perturbed_circle(spark, d):
+    out = build.compute_with_report(G.great_circle(spark, 64))
+    v = out.validate()
+    return spark.createDataFrame([(out.degenerate["perturbation_applied"], v.num_cells, v.euler_characteristic)], "perturbed boolean, cells long, euler long")
+
+
+def topology_fingerprint(spark, d):
+    return Q.fingerprint(diagram(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (canonical_sites, invalid_sites, project_world, unit_to_world, cube_cells, cell_occupancy, occupancy_stats, weld_pairs, weld_map, weld_report, knn8, locate, locate_counts, delaunay_triangles, welded_triangles, delaunay_edges, adjacency, degree_histogram, voronoi_vertices, cell_area, area_by_label, area_total, cell_centroid, lloyd_step, validation_report, edge_lengths, short_edges, site_chords, quality_summary, residuals_small, sampled_ownership, effective_index, fibonacci_sites, simplified_mesh, elided_mesh, fibonacci_diagram, perturbed_circle, topology_fingerprint)}
+
+
+# DuckDB SQL --------------------------------------------------------------------------------------------
+
+
+def _site_sql(first: int, name: str) -> str:
+    x, y, z = (f"embedding[{i}]::DOUBLE" for i in range(first, first + 3))
+    return f"SELECT vec_id AS {name}, ({x} / n)::FLOAT AS x, ({y} / n)::FLOAT AS y, ({z} / n)::FLOAT AS z FROM (SELECT *, sqrt({x} * {x} + {y} * {y} + {z} * {z}) AS n FROM embeddings)"
+
+
+_SITES = f"sites AS ({_site_sql(1, 'site_id')})"
+_R = lambda e, k=6: f"round({e}, {k}) + 0.0"
+
+_NEAR = f"""near AS (SELECT a.site_id AS a, b.site_id AS b FROM sites a JOIN sites b ON a.site_id < b.site_id
+ AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < {MERGE}::FLOAT * {MERGE}::FLOAT)"""
+_CLASSES = f"""{_NEAR}, both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(site_id, m) AS (SELECT site_id, site_id FROM sites UNION SELECT e.b, r.m FROM reach r JOIN both_ways e ON e.a = r.site_id),
+classes AS (SELECT site_id, min(m) AS canonical_id FROM reach GROUP BY site_id)"""
+
+
+def _mesh_sql(sites: str = "sites") -> str:
+    """tri (a < b < c and the vertex x, y, z): circumcentres with no site nearer, of triples within a chord of 0.75."""
+    return f"""u AS (SELECT site_id, x / n AS x, y / n AS y, z / n AS z FROM (SELECT site_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, sqrt(x::DOUBLE * x + y::DOUBLE * y + z::DOUBLE * z) AS n FROM {sites})),
+pr AS (SELECT p.site_id AS a, q.site_id AS b FROM u p JOIN u q ON p.site_id < q.site_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) < 0.5625),
+tr AS (SELECT p.a, p.b, q.b AS c FROM pr p JOIN pr q ON p.a = q.a AND p.b < q.b JOIN pr o ON o.a = p.b AND o.b = q.b),
+nv AS (SELECT t.*, p.x AS px, p.y AS py, p.z AS pz,
+  (q.y - p.y) * (o.z - p.z) - (q.z - p.z) * (o.y - p.y) AS nx, (q.z - p.z) * (o.x - p.x) - (q.x - p.x) * (o.z - p.z) AS ny, (q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) AS nz
+  FROM tr t JOIN u p ON p.site_id = t.a JOIN u q ON q.site_id = t.b JOIN u o ON o.site_id = t.c),
+un AS (SELECT a, b, c, px, py, pz, s * nx / l AS x, s * ny / l AS y, s * nz / l AS z FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM nv) CROSS JOIN (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) v(s)),
+tri AS (SELECT a, b, c, x, y, z FROM un WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.site_id NOT IN (a, b, c) AND u.x * un.x + u.y * un.y + u.z * un.z > un.px * un.x + un.py * un.y + un.pz * un.z + 1e-13)),
+pairs AS (SELECT a, b FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri)"""
+
+
+#: half (cell, a vertex, the next one counter-clockwise): corners by angle about the site.
+_HALF = """inc AS (SELECT a AS site_id, x, y, z FROM tri UNION ALL SELECT b, x, y, z FROM tri UNION ALL SELECT c, x, y, z FROM tri),
+e AS (SELECT site_id, x AS gx, y AS gy, z AS gz,
+  CASE WHEN abs(x) >= 0.9 THEN -z ELSE 0 END AS ex, CASE WHEN abs(x) >= 0.9 THEN 0 ELSE z END AS ey, CASE WHEN abs(x) >= 0.9 THEN x ELSE -y END AS ez FROM u),
+f AS (SELECT *, gy * ez - gz * ey AS fx, gz * ex - gx * ez AS fy, gx * ey - gy * ex AS fz FROM e),
+ang AS (SELECT i.*, f.gx, f.gy, f.gz, atan2(i.x * fx + i.y * fy + i.z * fz, i.x * ex + i.y * ey + i.z * ez) AS t FROM inc i JOIN f USING (site_id)),
+half AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by_, coalesce(lead(z) OVER w, first_value(z) OVER w) AS bz FROM ang WINDOW w AS (PARTITION BY site_id ORDER BY t)),
+cr AS (SELECT *, y * bz - z * by_ AS cx, z * bx - x * bz AS cy, x * by_ - y * bx AS cz, x * bx + y * by_ + z * bz AS d FROM half),
+area AS (SELECT site_id, abs(sum(2 * atan2(gx * cx + gy * cy + gz * cz, 1 + gx * x + gy * y + gz * z + d + bx * gx + by_ * gy + bz * gz))) AS area FROM cr GROUP BY site_id)"""
+_MOMENT = """th AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS l FROM cr),
+mo AS (SELECT site_id, any_value(gx) AS gx, any_value(gy) AS gy, any_value(gz) AS gz, sum(atan2(l, d) * cx / l) AS mx, sum(atan2(l, d) * cy / l) AS my, sum(atan2(l, d) * cz / l) AS mz FROM th WHERE l > 2.3e-16 GROUP BY site_id),
+cen AS (SELECT site_id, s * mx / n AS x, s * my / n AS y, s * mz / n AS z FROM (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS n, CASE WHEN mx * gx + my * gy + mz * gz < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS s FROM mo))"""
+_EDGES = """ed AS (SELECT p.a, p.b, t.x, t.y, t.z FROM pairs p JOIN tri t ON p.a IN (t.a, t.b, t.c) AND p.b IN (t.a, t.b, t.c)),
+len AS (SELECT a, b, sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y)) + (max(z) - min(z)) * (max(z) - min(z))) AS chord FROM ed GROUP BY a, b),
+chord AS (SELECT p.a, p.b, sqrt((g.x::DOUBLE - h.x) * (g.x::DOUBLE - h.x) + (g.y::DOUBLE - h.y) * (g.y::DOUBLE - h.y) + (g.z::DOUBLE - h.z) * (g.z::DOUBLE - h.z)) AS chord FROM pairs p JOIN sites g ON g.site_id = p.a JOIN sites h ON h.site_id = p.b)"""
+_LOCATED = f"""q AS ({_site_sql(4, 'query_id')}),
+located AS (SELECT query_id, arg_max(site_id, d) AS site_id FROM (SELECT q.query_id, s.site_id, q.x::DOUBLE * s.x::DOUBLE + q.y::DOUBLE * s.y::DOUBLE + q.z::DOUBLE * s.z::DOUBLE AS d FROM q CROSS JOIN sites s) GROUP BY query_id)"""
+_CUBE = f"""fuv AS (SELECT site_id, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x >= 0 THEN 0 ELSE 1 END WHEN abs(y) >= abs(x) AND abs(y) >= abs(z) THEN CASE WHEN y >= 0 THEN 2 ELSE 3 END ELSE CASE WHEN z >= 0 THEN 4 ELSE 5 END END AS face, x, y, z FROM (SELECT site_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM sites)),
+uv AS (SELECT site_id, face, CASE face WHEN 0 THEN -z / abs(x) WHEN 1 THEN z / abs(x) WHEN 2 THEN x / abs(y) WHEN 3 THEN x / abs(y) WHEN 4 THEN x / abs(z) ELSE -x / abs(z) END AS u,
+  CASE face WHEN 0 THEN y / abs(x) WHEN 1 THEN y / abs(x) WHEN 2 THEN -z / abs(y) WHEN 3 THEN z / abs(y) WHEN 4 THEN y / abs(z) ELSE y / abs(z) END AS v FROM fuv),
+st AS (SELECT site_id, face, CASE WHEN u >= 0 THEN 0.5 * sqrt(1 + 3 * abs(u)) ELSE 1 - 0.5 * sqrt(1 + 3 * abs(u)) END AS s, CASE WHEN v >= 0 THEN 0.5 * sqrt(1 + 3 * abs(v)) ELSE 1 - 0.5 * sqrt(1 + 3 * abs(v)) END AS t FROM uv),
+cube AS (SELECT site_id AS vec_id, face, least({RES - 1}, greatest(0, floor(s * {RES})))::INT AS iu, least({RES - 1}, greatest(0, floor(t * {RES})))::INT AS iv FROM st),
+cells AS (SELECT vec_id, face, iu, iv, (face * {RES * RES} + iv * {RES} + iu)::BIGINT AS cell FROM cube),
+occ AS (SELECT cell, count(*) AS n FROM cells GROUP BY cell)"""
+
+_M = f"WITH {_SITES}, {_mesh_sql()}"
+_C = WORLD.center
+_P = [f"(embedding[{i + 1}]::DOUBLE * 10 - ({float(_C[i])!r})::DOUBLE)" for i in range(3)]
+_ZERO = ("degenerate_cells", "cells_with_fewer_than_three_stored_positions", "cells_with_duplicate_vertices", "cells_with_invalid_references", "invalid_vertex_references", "duplicate_cells_count", "welded_twin_cells", "weld_map_issues", "vertices_off_sphere", "orphan_vertices", "low_incidence_vertices", "degree_0", "degree_1", "degree_2", "degree_4_plus", "self_loop_edges", "zero_length_edges", "antipodal_edges", "boundary_edges", "overused_edges", "same_direction_edge_pairs")
+
+ORACLE_SQL = {
+    "canonical_sites": _site_sql(1, "vec_id"),
+    "invalid_sites": f"WITH {_SITES} SELECT count(*) AS n, sum((NOT (isfinite(x) AND isfinite(y) AND isfinite(z)))::INT)::BIGINT AS not_finite, sum((abs(x::DOUBLE * x + y::DOUBLE * y + z::DOUBLE * z - 1) > 2 * 1.1920928955078125e-07)::INT)::BIGINT AS off_sphere FROM sites",
+    "project_world": f"SELECT vec_id, {_R('a / n', 9)} AS x, {_R('b / n', 9)} AS y, {_R('c / n', 9)} AS z FROM (SELECT vec_id, a, b, c, sqrt(a * a + b * b + c * c) AS n FROM (SELECT vec_id, {_P[0]} AS a, {_P[1]} AS b, {_P[2]} AS c FROM embeddings))",
+    "unit_to_world": f"WITH {_SITES} SELECT site_id AS vec_id, {_R(f'x::DOUBLE * {WORLD.radius}::DOUBLE + ({_C[0]})::DOUBLE', 9)} AS x, {_R(f'y::DOUBLE * {WORLD.radius}::DOUBLE + ({_C[1]})::DOUBLE', 9)} AS y, {_R(f'z::DOUBLE * {WORLD.radius}::DOUBLE + ({_C[2]})::DOUBLE', 9)} AS z FROM sites",
+    "cube_cells": f"WITH {_SITES}, {_CUBE} SELECT * FROM cells",
+    "cell_occupancy": f"WITH {_SITES}, {_CUBE} SELECT * FROM occ",
+    "occupancy_stats": f"WITH {_SITES}, {_CUBE} SELECT max(n) AS most, sum(n * n)::DOUBLE / sum(n)::DOUBLE AS mean_by_site FROM occ",
+    "weld_pairs": f"WITH {_SITES}, {_NEAR} SELECT a, b FROM near",
+    "weld_map": f"WITH RECURSIVE {_SITES}, {_CLASSES} SELECT site_id, canonical_id FROM classes",
+    "weld_report": f"WITH RECURSIVE {_SITES}, {_CLASSES} SELECT count(*) AS original_points, count(DISTINCT canonical_id) AS effective_points, count(*) - count(DISTINCT canonical_id) AS num_merged FROM classes",
+    "knn8": f"WITH {_SITES}, p AS (SELECT a.site_id, b.site_id AS neighbor_id, a.x::DOUBLE * b.x::DOUBLE + a.y::DOUBLE * b.y::DOUBLE + a.z::DOUBLE * b.z::DOUBLE AS dot FROM sites a JOIN sites b ON a.site_id <> b.site_id) SELECT site_id, rank::INT AS rank, neighbor_id, {_R('dot', 9)} AS dot FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY dot DESC, neighbor_id) AS rank FROM p) WHERE rank <= 8",
+    "locate": f"WITH {_SITES}, {_LOCATED} SELECT query_id, site_id FROM located",
+    "locate_counts": f"WITH {_SITES}, {_LOCATED} SELECT site_id, count(*) AS n FROM located GROUP BY site_id",
+    "delaunay_triangles": f"{_M} SELECT a, b, c FROM tri",
+    "welded_triangles": f"WITH RECURSIVE {_SITES}, {_CLASSES}, eff AS (SELECT sites.* FROM sites JOIN classes USING (site_id) WHERE canonical_id = site_id), {_mesh_sql('eff')} SELECT a, b, c FROM tri",
+    "delaunay_edges": f"{_M} SELECT a, b FROM pairs",
+    "adjacency": f"{_M} SELECT a AS cell_id, b AS neighbor_id FROM pairs UNION ALL SELECT b, a FROM pairs",
+    "degree_histogram": f"{_M} SELECT degree::INT AS degree, count(*) AS n FROM (SELECT c, count(*) AS degree FROM (SELECT a AS c FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY c) GROUP BY degree",
+    "voronoi_vertices": f"{_M} SELECT a AS g0, b AS g1, c AS g2, {_R('x')} AS x, {_R('y')} AS y, {_R('z')} AS z FROM tri",
+    "cell_area": f"{_M}, {_HALF} SELECT site_id, {_R('area')} AS area FROM area",
+    "area_by_label": f"{_M}, {_HALF} SELECT label, count(*) AS n, {_R('sum(area)')} AS area FROM area JOIN embeddings ON vec_id = site_id GROUP BY label",
+    "area_total": f"{_M}, {_HALF} SELECT {_R('sum(area)')} AS area FROM area",
+    "cell_centroid": f"{_M}, {_HALF}, {_MOMENT} SELECT site_id, {_R('x')} AS x, {_R('y')} AS y, {_R('z')} AS z FROM cen",
+    "lloyd_step": f"{_M}, {_HALF}, {_MOMENT} SELECT site_id, {_R('x::FLOAT::DOUBLE', 5)} AS x, {_R('y::FLOAT::DOUBLE', 5)} AS y, {_R('z::FLOAT::DOUBLE', 5)} AS z FROM cen",
+    "validation_report": f"{_M} SELECT n AS num_cells, t AS num_vertices, t AS used_vertices, p AS num_edges, t - p + n AS euler_characteristic, 1::BIGINT AS connected_components, n AS unique_cells, 2 * p AS total_cell_vertices, t AS degree_3, {', '.join(f'0::BIGINT AS {c}' for c in _ZERO)} FROM (SELECT (SELECT count(*) FROM sites) AS n, (SELECT count(*) FROM tri) AS t, (SELECT count(*) FROM pairs) AS p)",
+    "edge_lengths": f"{_M}, {_EDGES} SELECT a, b, {_R('chord')} AS chord FROM len",
+    "short_edges": f"{_M}, {_EDGES} SELECT a, b, {_R('chord')} AS chord FROM len WHERE chord <= {SHORT}",
+    "site_chords": f"{_M}, {_EDGES} SELECT a, b, {_R('chord')} AS chord FROM chord",
+    "quality_summary": f"{_M}, {_EDGES}, k AS (SELECT chord, row_number() OVER (ORDER BY chord) - 1 AS i, count(*) OVER () AS n FROM chord) SELECT max(n) AS n, {_R('max(chord)')} AS max, {_R('avg(chord)')} AS mean, {_R('max(CASE WHEN i = (n - 1) * 95 // 100 THEN chord END)')} AS p95, {_R('max(CASE WHEN i = (n - 1) * 99 // 100 THEN chord END)')} AS p99 FROM k",
+    "residuals_small": f"{_M} SELECT (SELECT count(*) FROM tri) AS vertices, 0::BIGINT AS vertices_off, (SELECT count(*) FROM pairs) AS edges, 0::BIGINT AS edges_off",
+    "effective_index": f"WITH RECURSIVE {_SITES}, {_CLASSES} SELECT row_number() OVER (ORDER BY site_id) - 1 AS effective_index, site_id FROM classes WHERE site_id = canonical_id",
+    "fibonacci_sites": f"SELECT i AS site_id, {_R('(r * cos(t) / n)::FLOAT::DOUBLE', 5)} AS x, {_R('(r * sin(t) / n)::FLOAT::DOUBLE', 5)} AS y, {_R('(z / n)::FLOAT::DOUBLE', 5)} AS z FROM (SELECT *, sqrt(r * cos(t) * r * cos(t) + r * sin(t) * r * sin(t) + z * z) AS n FROM (SELECT *, sqrt(1 - z * z) AS r, i * {G.GOLDEN!r}::DOUBLE AS t FROM (SELECT range AS i, 1 - (2 * range + 1) / 1000.0::DOUBLE AS z FROM range(1000))))",
+}
