@@ -8,9 +8,10 @@ that fills its last coordinate, so a large set costs one or two hashes an elemen
 Search: the sketch is cut into bands; a band's values are a bucket. Equal sets are one node from the
 start. In two star rounds one node of each bucket is compared with all others of it, and what links is
 joined into components: first the least node, then the one with the least share of own shingles (those
-no other node of an undecided bucket has), the middle of a group of near copies. Then pairs of a bucket
-whose nodes are still in different components are compared, save those that own shingles rule out:
-the intersection is at most what is left of either set without them. A bucket is thus compared in full
+no other node of an undecided bucket has), the middle of a group of near copies. Then pairs
+of a bucket whose nodes are still in different components are compared, save those that counts rule out:
+an intersection is at most what is left of either set without its own shingles, and at most the sum, over
+hash groups of shingles, of the lesser number that either set has in the group. A bucket is thus compared in full
 but for pairs that are joined or can't be links. Links are confirmed on full sets.
 """
 
@@ -20,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, Words, blocks, drop_spool, encoded, free_shuffles, mix64, spool
 
@@ -28,6 +29,9 @@ T = 128
 #: Rows of a band. At similarity 0.8 a pair shares no band of 4 of 128 coordinates with probability under 1e-7.
 BAND_ROWS = 4
 
+#: Hash groups whose shingles are counted for the bound, seven to a long.
+GROUPS = 63
+
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -124,18 +128,44 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return wide.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _own(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(rep, own long): shingles of a node that no other of the nodes has. Counted by shingle, in the cluster."""
+def group_counts(shingles: np.ndarray) -> list[int] | None:
+    """How many shingles each hash group has, seven 8-bit counts to a long; None where one exceeds 127."""
+    n = np.bincount((shingles % U64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    if n.max() > 127:
+        return None
+    return (n.reshape(-1, 7) << (8 * np.arange(7))).sum(axis=1).tolist()
+
+
+def shared_at_most(x: Column, y: Column) -> Column:
+    """The sum of the lesser counts of two group_counts(), lane by lane in whole longs."""
+    high, even = F.lit(0x0080808080808080), F.lit(0x00FF00FF00FF00FF)
+    total = F.lit(0).cast("long")
+    for i in range(GROUPS // 7):
+        a, b = x[i], y[i]
+        # The high bit of a lane stays where a's count is not below b's; it widens to a mask of the lane.
+        mask = F.shiftrightunsigned((a.bitwiseOR(high) - b).bitwiseAND(high), 7) * 255
+        low = a.bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(mask))
+        total = total + low.bitwiseAND(even) + F.shiftrightunsigned(low, 8).bitwiseAND(even)
+    lane = F.lit(0xFFFF)
+    return total.bitwiseAND(lane) + F.shiftrightunsigned(total, 16).bitwiseAND(lane) + F.shiftrightunsigned(total, 32).bitwiseAND(lane) + F.shiftrightunsigned(total, 48)
+
+
+def _counted(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, own long, groups array<long>): shingles of a node that no other of the nodes has, and group_counts().
+
+    Counted by shingle, in the cluster.
+    """
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(encoded(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([group_counts(x) for x in sets], pa.list_(pa.int64()))], ["rep", "shingles", "groups"])
 
     reps = nodes.select("rep").distinct()
-    sets = texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>")
+    sets = spool(texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>, groups array<long>"))
     single = sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("c")).where("c = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    own = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return spool(sets.select("rep", "groups").join(own, "rep", "left").fillna(0, ["own"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,50 +209,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal"))
     nodes = info.join(classes, "set_id").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["rep"])
-    placed = nodes.select("rep", "n", F.explode("bands").alias("bucket"), "bands")
+    placed = nodes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     placed = spool(placed.join(shared, "bucket", "left_semi"))
+    free_shuffles(docs.sparkSession)
     links, seen, comp = None, None, None
-    undecided = placed.withColumns({"comp": F.col("rep"), "own": F.lit(0).cast("long")})
-    for stage in ("least", "middle", "pairs"):
-        if comp is not None:
-            held = placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-            held = held.join(mixed, "bucket", "left_semi")
-            if stage == "middle":
-                held = spool(held)
-                free_shuffles(docs.sparkSession)
-                placed = held.drop("comp").join(_own(held, texts, shingle), "rep", "left").fillna(0, ["own"])
-                undecided = placed = spool(placed.join(held.select("rep", "comp").distinct(), "rep"))
-                placed = placed.drop("comp")
-            else:
-                undecided = spool(held)
-        if stage == "pairs":
-            other = undecided
-            on = F.col("rep") > F.col("rep2")
-        else:
-            order = F.struct("rep") if stage == "least" else F.struct(F.col("own") / F.col("n"), F.col("rep"))
-            other = undecided.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "comp", "own", "bands"), order).alias("s")).select("bucket", "s.*")
-            on = F.col("rep") != F.col("rep2")
-        other = other.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "own", "bands")))
-        # What the sets can share at most, and the first bucket that two nodes share, so that a pair comes once.
-        most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
-        able = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
-        first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
-        pairs = undecided.join(other, "bucket").where(on & (F.col("comp") != F.col("comp2")) & able & (first if stage == "pairs" else F.lit(True)))
-        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-        if stage != "pairs":
-            pairs = pairs.distinct()
+
+    def undecided() -> DataFrame:
+        """Rows of buckets whose nodes are in several components."""
+        held = placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+        return spool(held.join(mixed, "bucket", "left_semi"))
+
+    def compare(pairs: DataFrame) -> None:
+        """Confirm pairs (a, b) that weren't compared yet and join what they link."""
+        nonlocal links, seen, comp
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = spool(pairs)
-        if not pairs.limit(1).count():
-            continue
-        found = spool(_linked(pairs, texts, shingle, percent))
-        links = found if links is None else links.union(found)
+        if pairs.limit(1).count():
+            found = spool(_linked(pairs, texts, shingle, percent))
+            links = found if links is None else links.union(found)
+            comp = spool(components(links))
         seen = pairs if seen is None else seen.union(pairs)
-        comp = spool(components(links))
         free_shuffles(docs.sparkSession)
+
+    def rename(df: DataFrame, *names: str) -> DataFrame:
+        return df.select("bucket", *(F.col(c).alias(f"{c}2") for c in names))
+
+    pair = F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")
+    able = lambda most: 100 * most >= percent * (F.col("n") + F.col("n2") - most)
+    least = placed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("s")).select("bucket", "s.*")
+    compare(placed.join(rename(least, "rep", "n"), "bucket").where((F.col("rep") != F.col("rep2")) & able(F.least("n", "n2"))).select(*pair).distinct())
+    if comp is not None:
+        placed = undecided()
+        facts = _counted(placed, texts, shingle)
+        placed = placed.drop("comp")
+        middle = undecided().join(facts.select("rep", "own"), "rep")
+        center = middle.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "own", "comp"), F.struct(F.col("own") / F.col("n"), "rep")).alias("s")).select("bucket", "s.*")
+        most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+        compare(middle.join(rename(center, "rep", "n", "own", "comp"), "bucket").where((F.col("comp") != F.col("comp2")) & able(most)).select(*pair).distinct())
+        last = spool(undecided().join(facts, "rep").join(nodes.select("rep", "bands"), "rep"))
+        # A pair counts in the first bucket that its nodes share.
+        first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
+        counts = F.coalesce(able(shared_at_most(F.col("groups"), F.col("groups2"))), F.lit(True))
+        both = last.join(rename(last, "rep", "n", "own", "comp", "groups", "bands"), "bucket")
+        compare(both.where((F.col("rep") > F.col("rep2")) & (F.col("comp") != F.col("comp2")) & able(most) & counts & first).select(*pair))
     base = info.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     if comp is not None:
         base = base.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
