@@ -68,7 +68,7 @@ def low_degree(d: SphericalVoronoi, within: float = 1e-6) -> DataFrame:
 def sampled_ownership(d: SphericalVoronoi, most: int = 1_000) -> DataFrame:
     """(site_id, owner, gap) for at most `most` cells, evenly spaced by dense index: the nearest site of the cell's centroid.
 
-    gap is how much nearer than the cell's own site, as a dot product; 0 or less where the cell owns its centroid.
+    gap is how much nearer than the cell's own site, as a dot product; up to 32-bit rounding 0 or less where the cell owns its centroid.
     """
     index = dense_ids(d.weld.where("site_id = canonical_id").select("site_id"), ["site_id"], "i")
     n = d.effective_cell_count()

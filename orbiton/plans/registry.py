@@ -177,7 +177,7 @@ def residuals_small(spark, d):
 
 
 def sampled_ownership(spark, d):
-    return Q.sampled_ownership(diagram(spark, d)).select("site_id", (F.col("gap") <= 1e-9).alias("owned"))
+    return Q.sampled_ownership(diagram(spark, d)).select("site_id", (F.col("gap") <= 1e-6).alias("owned"))
 
 
 def effective_index(spark, d):
