@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .pretokens import PieceEncoder
 
 
@@ -150,6 +151,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     empty text has no ids. Each row of docs, repeated or not, gives one row; other columns are ignored.
     Texts are held a batch at a time; nothing is shuffled, so rows of any skew cost the same.
     """
+    small_batches(docs.sparkSession)
     names = [id_col] + (["ids"] if with_ids else [])
 
     def run(batches):

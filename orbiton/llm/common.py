@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass works on; bounds a worker's memory whatever the Arrow batch holds.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Documents in one Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Python workers get at most BATCH_ROWS documents at once, unless the session asks for fewer: their memory follows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def spool(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession

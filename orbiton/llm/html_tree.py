@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # Elements that break a line of text, those that hold no text of the page, those that never
 # have an end, and those that a like element closes.
 BLOCKS = frozenset("html head body title main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend label select option button textarea blockquote pre figure figcaption address details summary hr menu dialog center noscript iframe svg".split())
@@ -335,6 +337,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html, or one without content, has an empty text. Nothing is cut from a long page. Repeated
     rows give the same each; other columns are ignored; an empty table gives no rows. No shuffle.
     """
+    small_batches(pages.sparkSession)
     weights, pairs = trained()
 
     def run(batches):

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches
+
 #: Hash buckets of the n-grams of 1, 2 and 3 code points, and the weight of each length in the blend.
 BUCKETS = (512, 4096, 8192)
 BLEND = (0.2, 0.3, 0.5)
@@ -126,6 +128,7 @@ def fit(labelled: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs' columns keep with lang_pred string and score double of every whole text."""
     shape = docs.select(*keep).schema
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import _BASE, _LETTERS, U64, _power_table, mix64, spool
+from .common import _BASE, _LETTERS, U64, _power_table, mix64, small_batches, spool
 
 SIGNATURE = 64
 
@@ -143,6 +143,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     its next at a time; the last document of a partition waits for the first of the next partition, two
     texts for each partition.
     """
+    small_batches(docs.sparkSession)
     names = [*_COLUMNS, "part", "edge", "text"]
 
     def run(batches):

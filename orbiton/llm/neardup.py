@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, Words, blocks, drop_spool, encoded, free_shuffles, mix64, spool
+from .common import U64, Words, blocks, drop_spool, encoded, free_shuffles, mix64, small_batches, spool
 
 T = 128
 #: Rows of a band. At similarity 0.8 a pair shares no band of 4 of 128 coordinates with probability under 1e-7.
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     no links. Rows with a null doc_id are left out. Rows that repeat a doc_id with different texts are
     described row by row, but links are confirmed on one of the texts. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     info = spool(_describe(docs, shingle))
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     if info.groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 #: Entries that each of the two memos of a worker keeps in a generation; two generations are held.
-CHUNKS, WORDS = 400_000, 350_000
+CHUNKS, WORDS = 220_000, 220_000
 #: Longer pieces are not remembered.
 LONGEST = 40
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, blocks, encoded, spool
+from .common import Words, blocks, encoded, small_batches, spool
 
 #: Steps of a ladder; cutoff j rejects scores above 1 - (j + 1) / STEPS.
 STEPS = 50
@@ -82,6 +82,7 @@ def steps(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def measure(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """docs' columns keep with the base counts and each rule's steps of every whole text (null: empty)."""
+    small_batches(docs.sparkSession)
     shape = docs.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + f", {FEATURES}, " + ", ".join(f"step_{r} long" for r in RULES)
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BASE, _LETTERS, U64, _power_table, drop_spool, free_shuffles, mix64, spool
+from .common import _BASE, _LETTERS, U64, _power_table, drop_spool, free_shuffles, mix64, small_batches, spool
 
 LENGTH = 50
 #: Bytes that an anchor hashes; a window holds LENGTH - K + 1 of them.
@@ -506,6 +506,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     a null doc_id are left out; rows that share a doc_id don't cut each other. Texts under LENGTH bytes lose
     nothing. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     chunks = spool(_chunks(docs), "uncompressed")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(12, -(-total // BUCKET_BYTES))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_spool, shared_dir, spool
+from .common import drop_spool, shared_dir, small_batches, spool
 from .pretokens import PieceEncoder
 
 SEGMENT_IDS = 1 << 18
@@ -154,6 +154,7 @@ def write_token_corpus(docs: DataFrame, path: str, tokenizer_path: str, pattern:
     left out. Repeated rows are written as often as they come. Other columns are ignored; an empty table
     writes an empty corpus. One shuffle, by doc_id range.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     raw = spool(_encode_sorted(docs, tokenizer_path, pattern, end_id, vocabulary), "zstd")
     order = _rank_order(raw, vocabulary)
