@@ -38,8 +38,8 @@ CHUNK_BYTES = 8 << 20
 PIECE = 1 << 20
 #: Text bytes for one bucket of anchors.
 BUCKET_BYTES = 8 << 20
-#: Symbols that one suffix array orders; anchors' strings are packed into arrays of about so many.
-ORDERED = 1 << 17
+#: Symbols that one suffix array orders; anchors' strings are packed into arrays of at most about so many.
+ORDERED = 1 << 16
 
 _PLACE = U64((1 << 22) - 1)
 
@@ -347,35 +347,6 @@ def _segments(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     return asked.select("chunk", "doc_ids", "sizes", "texts", "anchors").mapInArrow(run, "bucket int, chunk string, anchor binary, low binary, high binary, sizes binary, data binary")
 
 
-def _packs(strings: list[bytes], windows: list[np.ndarray]) -> list[list[int]]:
-    """Numbers of the strings, packed so that strings with a window number in common are together, about ORDERED bytes a pack."""
-    parent = list(range(len(strings)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    holder: dict[int, int] = {}
-    for i, numbers in enumerate(windows):
-        for w in numbers.tolist():
-            j = holder.setdefault(w, i)
-            if j != i:
-                parent[root(i)] = root(j)
-    together: dict[int, list[int]] = {}
-    for i in range(len(strings)):
-        together.setdefault(root(i), []).append(i)
-    out, size = [], ORDERED
-    for own in together.values():
-        if size >= ORDERED:
-            out.append([])
-            size = 0
-        out[-1] += own
-        size += sum(len(strings[i]) for i in own)
-    return out
-
-
 def _classes(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     """least_by_window() of the distinct segments of several anchors, those of an anchor together.
 
@@ -389,22 +360,39 @@ def _classes(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     h = string_hashes(whole, start[owner] + place, LENGTH)
-    _, which, seen = np.unique(h, return_inverse=True, return_counts=True)
+    places = start[owner] + place
+    _, example, which, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     shared = seen[which] > 1
     least = np.array(docs, np.int64)[owner]
     # Runs of shared windows within a segment.
     edge = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | (owner[1:] != owner[:-1]))))
     stop = np.flatnonzero(shared & np.concatenate((~shared[1:] | (owner[1:] != owner[:-1]), [True]))) + 1
     runs: dict[bytes, list[tuple[int, int]]] = {}
-    for a, b in zip(edge.tolist(), stop.tolist()):
-        s = int(start[owner[a]] + place[a])
-        runs.setdefault(whole[s : s + b - a + LENGTH - 1].tobytes(), []).append((a, b))
+    for x, y in zip(edge.tolist(), stop.tolist()):
+        runs.setdefault(whole[places[x] : places[x] + y - x + LENGTH - 1].tobytes(), []).append((x, y))
     strings = list(runs)
-    low = [min(docs[owner[a]] for a, _ in runs[x]) for x in strings]
-    for pack in _packs(strings, [which[a:b] for a, b in (runs[x][0] for x in strings)]):
-        for i, values in zip(pack, least_by_window([strings[i] for i in pack], [low[i] for i in pack])):
-            for a, b in runs[strings[i]]:
-                least[a:b] = values
+    low = [min(docs[owner[x]] for x, _ in runs[t]) for t in strings]
+    # Each pack is ordered for itself, so that memory is bounded; classes of several packs meet by their hash,
+    # and below every window is held against its class's example, byte by byte.
+    best = np.full(len(seen), np.iinfo(np.int64).max)
+    first = 0
+    while first < len(strings):
+        last, size = first, 0
+        while last < len(strings) and (last == first or size + len(strings[last]) <= ORDERED):
+            size += len(strings[last])
+            last += 1
+        for t, values in zip(strings[first:last], least_by_window(strings[first:last], low[first:last])):
+            x, y = runs[t][0]
+            np.minimum.at(best, which[x:y], values)
+        first = last
+    found = np.flatnonzero(shared)
+    least[found] = best[which[found]]
+    if len(found):
+        rows = np.lib.stride_tricks.sliding_window_view(whole, LENGTH)
+        for x in range(0, len(found), 50_000):
+            some = found[x : x + 50_000]
+            if (rows[places[some]] != rows[places[example[which[some]]]]).any():
+                raise ValueError("two strings with one 64-bit hash")
     return np.split(least, np.cumsum(counts)[:-1])
 
 
