@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import PreprocessMode, VoronoiConfig
 from ..functions import sphere as S
 from ..functions.sphere import rounded as r6
-from ..operators import build, locate as L, quality as Q, resolution as R, validate as V, weld as W
+from ..operators import build, grid, locate as L, quality as Q, resolution as R, validate as V, weld as W
 from ..operators.diagram import SphericalVoronoi
 from ..sources import generators as G
 from ..sources.packed import embeddings_as_sites
@@ -210,11 +210,19 @@ def perturbed_circle(spark, d):
     return spark.createDataFrame([(out.degenerate["perturbation_applied"], v.num_cells, v.euler_characteristic)], "perturbed boolean, cells long, euler long")
 
 
+def grid_neighbors(spark, d):
+    return grid.neighbors(spark, RES)
+
+
+def sampled_lloyd(spark, d):
+    return grid.sampled_lloyd(_sites(spark, d), G.fibonacci(spark, 20_000))
+
+
 def topology_fingerprint(spark, d):
     return Q.fingerprint(diagram(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (canonical_sites, invalid_sites, project_world, unit_to_world, cube_cells, cell_occupancy, occupancy_stats, weld_pairs, weld_map, weld_report, knn8, locate, locate_counts, delaunay_triangles, welded_triangles, delaunay_edges, adjacency, degree_histogram, voronoi_vertices, cell_area, area_by_label, area_total, cell_centroid, lloyd_step, validation_report, edge_lengths, short_edges, site_chords, quality_summary, residuals_small, sampled_ownership, effective_index, fibonacci_sites, simplified_mesh, elided_mesh, fibonacci_diagram, perturbed_circle, topology_fingerprint)}
+QUERIES = {f.__name__: f for f in (canonical_sites, invalid_sites, project_world, unit_to_world, cube_cells, cell_occupancy, occupancy_stats, weld_pairs, weld_map, weld_report, knn8, locate, locate_counts, delaunay_triangles, welded_triangles, delaunay_edges, adjacency, degree_histogram, voronoi_vertices, cell_area, area_by_label, area_total, cell_centroid, lloyd_step, validation_report, edge_lengths, short_edges, site_chords, quality_summary, residuals_small, sampled_ownership, effective_index, fibonacci_sites, simplified_mesh, elided_mesh, fibonacci_diagram, perturbed_circle, grid_neighbors, sampled_lloyd, topology_fingerprint)}
 
 
 # DuckDB SQL --------------------------------------------------------------------------------------------
