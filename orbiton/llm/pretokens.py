@@ -1,8 +1,6 @@
 """Encoding texts by pre-tokens, each distinct one encoded once while it is remembered.
 
-Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens joined. Under
-the pattern of the rank files a space between two other characters always starts a pre-token; plain texts
-are cut there, and the ids of such chunks are remembered too, which spares the pattern most of the text.
+Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens joined.
 """
 
 from __future__ import annotations
@@ -10,77 +8,58 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Entries that each of the two memos of a worker keeps in a generation; two generations are held.
-CHUNKS, WORDS = 220_000, 220_000
-#: Longer pieces are not remembered.
+#: Pre-tokens that a generation of a worker's memo holds; two generations are kept.
+WORDS = 400_000
+#: Longer ones are not remembered.
 LONGEST = 40
 
-#: Characters that pattern engines class alike, and no white space but space and line feed.
+# Of the characters that a plain text may have, the letters and the numbers. All pattern
+# engines class these alike; white space is only space and line feed.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 _PLAIN = re.compile("[\\n -~¡-ɏ‐-‧‰-⁞₠-₿]*")
 
 
-class Memo:
-    """A map of two generations: when the young one is full the old one is forgotten."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of keys that are not known; known ones are made young."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        new = keys.difference(self.young)
-        if self.old:
-            found = new.intersection(self.old)
-            for k in found:
-                self.young[k] = self.old[k]
-            new -= found
-        return list(new)
+def plain_splitter(pattern: str) -> Callable[[str], list[str]] | None:
+    """pattern for plain texts, by the faster engine; None where it has parts that aren't known here."""
+    out = pattern
+    for known, plain in ((r"[^\s\p{L}\p{N}]", f"[^\n {_LETTERS}{_NUMBERS}]"), (r"\p{L}", f"[{_LETTERS}]"), (r"\p{N}", f"[{_NUMBERS}]"), (r"\S", "[^\n ]"), (r"\s", "[\n ]")):
+        out = out.replace(known, plain)
+    return None if "\\" in out else re.compile(out).findall
 
 
 class PieceEncoder:
-    """encode_words gives the ids, as bytes, of each of a list of pre-tokens; split cuts a text into pre-tokens."""
+    """encode_words gives the ids, as bytes, of each of a list of pre-tokens; split cuts a text into pre-tokens.
 
-    def __init__(self, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None):
-        self.split, self.encode_words, self.whole = split, encode_words, whole
-        self.chunks, self.words = Memo(CHUNKS), Memo(WORDS)
+    whole, if given, encodes texts that aren't plain. The memo has two generations: when the young one is
+    full, the old one is forgotten.
+    """
 
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(x) for x in texts]
-        new = self.words.missing(set().union(*cut))
-        known = self.words.young
-        known.update(zip(new, self.encode_words(new)))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None):
+        self.split, self.encode_words, self.whole = split, encode_words, whole
+        self.split_plain = plain_splitter(pattern)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain, other = [], []
-        for i, x in enumerate(texts):
-            if not _PLAIN.fullmatch(x):
-                other.append(i)
-            elif "  " in x or " \n" in x or "\n " in x or x[:1] == " " or x[-1:] == " ":
-                plain.append((i, re.split(r"(?<=[^ \n]) (?=[^ \n])", x)))
+        cut: list[list[str] | None] = []
+        for x in texts:
+            if self.split_plain and _PLAIN.fullmatch(x):
+                cut.append(self.split_plain(x))
             else:
-                plain.append((i, x.split(" ")))
-        new = self.chunks.missing(set().union(*(p[1:] for _, p in plain)))
-        known = self.chunks.young
-        coded = self._by_words([p[0] for _, p in plain] + [" " + w for w in new])
-        heads = coded[: len(plain)]
-        known.update(zip(new, coded[len(plain) :]))
-        for (i, p), head in zip(plain, heads):
-            out[i] = head + b"".join(map(known.__getitem__, p[1:]))
+                cut.append(None if self.whole else self.split(x))
+        if len(self.young) > WORDS:
+            self.old, self.young = self.young, {}
+        known = self.young
+        missing = set().union(*(ws for ws in cut if ws)).difference(known)
+        if self.old:
+            for w in missing.intersection(self.old):
+                known[w] = self.old[w]
+            missing.difference_update(known)
+        new = list(missing)
+        known.update(zip(new, self.encode_words(new)))
+        out = [self.whole(x) if ws is None else b"".join(map(known.__getitem__, ws)) for x, ws in zip(texts, cut)]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
-        if other and self.whole:
-            for i in other:
-                out[i] = self.whole(texts[i])
-        elif other:
-            for i, x in zip(other, self._by_words([texts[i] for i in other])):
-                out[i] = x
         return out

@@ -76,11 +76,14 @@ def _load(path: str, pattern: str) -> PieceEncoder:
     shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(visible)))}
     tokenize = tokenizer.model.tokenize
 
+    def seen_as(word: str) -> str:
+        return word.replace(" ", shown[32]).replace("\n", shown[10]) if word.isascii() and word.strip().isprintable() else word.encode().decode("latin-1").translate(shown)
+
     def encode_words(words: list[str]) -> list[bytes]:
-        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]).tobytes() for w in words]
+        return [array("I", [t.id for t in tokenize(seen_as(w))]).tobytes() for w in words]
 
     # Texts with characters that pattern engines may class differently go to the library whole.
-    return PieceEncoder(regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)))
+    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)))
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
