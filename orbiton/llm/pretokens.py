@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable
 
 #: Pre-tokens that a generation of a worker's memo holds; two generations are kept.
-WORDS = 400_000
+WORDS = 280_000
 #: Longer ones are not remembered.
 LONGEST = 40
 
