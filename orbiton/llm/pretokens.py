@@ -34,7 +34,8 @@ class PieceEncoder:
     full, the old one is forgotten.
     """
 
-    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None):
+    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, limit: int = WORDS):
+        self.limit = limit
         self.split, self.encode_words, self.whole = split, encode_words, whole
         self.split_plain = plain_splitter(pattern)
         self.young: dict[str, bytes] = {}
@@ -48,7 +49,7 @@ class PieceEncoder:
                 cut.append(self.split_plain(x))
             else:
                 cut.append(None if self.whole else self.split(x))
-        if len(self.young) > WORDS:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         known = self.young
         missing = set().union(*(ws for ws in cut if ws)).difference(known)

@@ -32,6 +32,8 @@ from .common import drop_spool, shared_dir, small_batches, spool
 from .pretokens import PieceEncoder
 
 SEGMENT_IDS = 1 << 18
+#: Pre-tokens in a generation of a worker's memo.
+WORDS = 650_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -39,25 +41,30 @@ _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
-    size = (v > 0xFF).view(np.uint8) + 1
-    width = 2
-    if len(v) and v.max() > 0xFFFF:
-        size += (v > 0xFFFF).view(np.uint8) + (v > 0xFFFFFF)
-        width = 4
-    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    codes[: len(v)] = size - 1
-    c = codes.reshape(-1, 4)
-    control = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
-    keep = np.arange(width, dtype=np.uint8) < size[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :width][keep].tobytes()
+    n = len(v)
+    codes = np.zeros(-(-n // 4) * 4, np.uint8)
+    width = 2 if not n or v.max() <= 0xFFFF else 4
+    keep = np.empty((n, width), bool)
+    keep[:, 0] = True
+    for i in range(1, width):
+        keep[:, i] = v > (1 << 8 * i) - 1
+        codes[:n] += keep[:, i]
+    # Four codes lie in the bytes of a word; shifted, they meet in its lowest byte.
+    four = codes.view("<u4")
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    return control.tobytes(), v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[keep].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values that pack() coded, by one table lookup of their lengths."""
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     width = 2 if not n or size.max() <= 2 else 4
+    keep = np.empty((n, width), bool)
+    keep[:, 0] = True
+    for i in range(1, width):
+        keep[:, i] = size > i
     out = np.zeros((n, width), np.uint8)
-    out[np.arange(width, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
+    out[keep] = np.frombuffer(data, np.uint8)
     return out.view(f"<u{width}").reshape(-1).astype("<u4", copy=False)
 
 
@@ -83,7 +90,7 @@ def _load(path: str, pattern: str) -> PieceEncoder:
         return [array("I", [t.id for t in tokenize(seen_as(w))]).tobytes() for w in words]
 
     # Texts with characters that pattern engines may class differently go to the library whole.
-    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)))
+    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)), WORDS)
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
