@@ -23,13 +23,14 @@ def unpaired(edges: DataFrame) -> DataFrame:
 
 
 def rebuild(d, sites: DataFrame):
-    """The diagram with the cells of unpaired edges, and of vertices under three cells, taken from the hull of their surroundings.
+    """The diagram with the cells of unpaired edges, of vertices under three cells, and of sites without a cell, taken from the hull of their surroundings.
 
     It stands only if the whole diagram then passes the strict gate; else the diagram comes back as it was,
     with its residuals, and the status says so.
     """
     low = d.cell_edges.groupBy("v0").agg(F.countDistinct("cell_id").alias("k"), F.min("cell_id").alias("cell_id")).where("k < 3").select("cell_id")
-    seeds = written(unpaired(d.cell_edges).select("cell_id").union(low).distinct())
+    gone = sites.select(F.col("site_id").alias("cell_id")).join(d.cell_edges.select("cell_id").distinct(), "cell_id", "left_anti")
+    seeds = written(unpaired(d.cell_edges).select("cell_id").union(low).union(gone).distinct())
     if seeds.limit(1).count() == 0:
         return d
     pairs = d.cell_edges.where("neighbor_id is not null").select(F.col("cell_id").alias("a"), F.col("neighbor_id").alias("b"))
