@@ -110,8 +110,9 @@ def surrogate_form(kind: Column, form: Column, d: Column, attempt: Column, femal
     pick = lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), _draw(d, i, len(names)) + 1)
     given = F.when(cyrillic & female, pick(FEMALE_CYRILLIC, F.lit(0))).when(cyrillic, pick(MALE_CYRILLIC, F.lit(0))).when(female, pick(FEMALE, F.lit(0))).otherwise(pick(MALE, F.lit(0)))
     family = F.when(cyrillic, pick(FAMILY_CYRILLIC, F.lit(1))).otherwise(pick(FAMILY, F.lit(1)))
-    # Later draws lengthen the family name, as the lists are finite.
-    tail = F.when(attempt == 0, "").otherwise(F.concat(F.lit("-"), F.when(cyrillic, pick(FAMILY_CYRILLIC, F.lit(2))).otherwise(pick(FAMILY, F.lit(2))), F.when(attempt < 8, "").otherwise(F.concat(F.lit("-"), F.when(cyrillic, pick(FAMILY_CYRILLIC, F.lit(3))).otherwise(pick(FAMILY, F.lit(3)))))))
+    # Each later draw makes the family name one part longer, as the lists are finite and forms are not.
+    longer = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), attempt + 1)), lambda i: F.concat(F.lit("-"), F.when(cyrillic, pick(FAMILY_CYRILLIC, i)).otherwise(pick(FAMILY, i))))
+    tail = F.when(attempt == 0, "").otherwise(F.array_join(longer, ""))
     words = F.size(F.split(form, " "))
     name = F.when(words > 1, F.concat(given, F.lit(" "), family, tail)).otherwise(F.concat(family, tail))
     return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", number).when(kind == "name", name).otherwise(mapped)
@@ -152,7 +153,8 @@ def _described(entities: Column) -> Column:
 def _forms(docs: DataFrame) -> DataFrame:
     """(kind, form, female) of every entity of the corpus, once each, counted down before any shuffle."""
     found = docs.select(F.explode(F.array_distinct(_described(mentions(F.col("text"))))).alias("x")).select("x.kind", "x.form", "x.female")
-    return found.groupBy("kind", "form").agg(F.max("female").alias("female"))
+    # A secret of punctuation alone has nothing to replace.
+    return found.where("form <> ''").groupBy("kind", "form").agg(F.max("female").alias("female"))
 
 
 def overrides(docs: DataFrame, key: str) -> DataFrame:

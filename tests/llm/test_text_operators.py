@@ -307,6 +307,14 @@ def test_collisions_draw_again(make_docs, monkeypatch):
         assert len(set(got)) == 9 and not set(got) & set(names)
 
 
+def test_any_number_of_names_gets_surrogates(make_docs, monkeypatch):
+    monkeypatch.setattr(pii, "FAMILY", pii.FAMILY[:2])
+    monkeypatch.setattr(pii, "FAMILY_CYRILLIC", pii.FAMILY_CYRILLIC[:2])
+    names = [f"Mr N{a}{b}" for a in "abcdefgh" for b in "abcdefgh"] + [f"Господин Н{a}{b}" for a in "абвгдежз" for b in "абвгдежз"]
+    got = [r.text for r in pii.replace_pii(make_docs([*names, "password=--------"])).collect()]
+    assert len(set(got)) == 129 and set(got) & {*names, "password=--------"} == {"password=--------"}
+
+
 def test_pii_of_nothing(make_docs):
     assert pii.replace_pii(make_docs([])).count() == 0
 
