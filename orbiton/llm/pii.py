@@ -1,9 +1,9 @@
 """PII surrogates (operator 3), DataFrame functions only.
 
 Detected entities are replaced by surrogates of their own type and format. An entity's canonical form
-(letters and digits in lower case) decides its surrogate, by a keyed SHA-256 digest, so that every
+(letters and digits in lower case, fixed parts marked off) decides its surrogate, by a keyed SHA-256 digest, so that every
 mention, in whatever document, case or punctuation, gets the same one. Over all canonical forms of the
-corpus the surrogates are checked: where two forms meet in one surrogate, or a surrogate is itself a form
+corpus the surrogates are checked as they are written: where two forms meet in one surrogate, or a surrogate is itself a form
 of the corpus, those draw again with the next attempt number, until none is left. Only the few that drew
 again are joined to documents; every other surrogate is computed where the mention stands.
 """
@@ -46,6 +46,10 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these; most texts have none and are spared PATTERN.
 HINT = r"[@0-9=:]|(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES]) + r")\.? "
 
+#: The country code at the start of a number behind +, by the ITU's list. No code starts another.
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+_LAST_LABEL = r"(\.[A-Za-z]+)\z"
+
 _LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -63,10 +67,17 @@ def kind_of(e: Column) -> Column:
 
 
 def canonical(e: Column, kind: Column) -> Column:
-    """What all mentions of one entity share: the parts that a surrogate replaces, in lower case, without punctuation."""
+    """What all mentions of one entity share, in lower case, without punctuation.
+
+    Fixed parts that surrogates keep belong to it: a mail domain's last label behind its dot, the country
+    code of a number as in "+49 301234567", an IBAN's country.
+    """
     plain = F.regexp_replace(F.lower(e), r"[^\p{L}\p{N}]", "")
     body = F.lower(F.regexp_extract(e, r"\A(?:AKIA|[A-Za-z_]+(?:=| = | ?: ?)\"?)?([A-Za-z0-9+/_-]+)\"?\z", 1))
-    return F.when(kind == "secret", F.regexp_replace(body, r"[^a-z0-9]", "")).when(kind == "name", F.regexp_replace(F.lower(e), r"\A\S+ ", "")).when(kind == "ip", e).otherwise(plain)
+    label = F.lower(F.regexp_extract(e, _LAST_LABEL, 1))
+    email = F.concat(F.regexp_replace(F.substring(F.lower(e), F.lit(1), F.length(e) - F.length(label)), r"[^a-z0-9]", ""), label)
+    phone = F.when(e.startswith("+"), F.regexp_replace(plain, rf"\A({_COUNTRY})", r"+$1 ")).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", F.regexp_replace(body, r"[^a-z0-9]", "")).when(kind == "name", F.regexp_replace(F.lower(e), r"\A\S+ ", "")).when(kind == "ip", e).otherwise(plain)
 
 
 def _digest(key: str, kind: Column, form: Column, attempt: Column) -> Column:
@@ -103,8 +114,14 @@ def surrogate_form(kind: Column, form: Column, d: Column, attempt: Column, femal
     body = F.concat(F.substring(form, 1, 1), F.substring(mapped, F.lit(2), F.length(mapped) - 2))
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     card = F.concat(body, F.when(_luhn(form) == 0, check).otherwise((check + 1 + _draw(d, F.lit(47), 9)) % 10).cast("string"))
-    # Telephone numbers and the like don't start anew with 0.
-    number = F.concat(F.when(F.substring(form, 1, 1) == "0", "0").otherwise((_draw(d, F.lit(46), 9) + 1).cast("string")), F.substring(mapped, F.lit(2), F.length(mapped)))
+    # Telephone numbers keep their country code and don't start anew with 0.
+    code = F.regexp_extract(form, r"\A(\+[0-9]+ )", 1)
+    number = F.concat(code, F.when(F.substring(form, F.length(code) + 1, F.lit(1)) == "0", "0").otherwise((_draw(d, F.lit(46), 9) + 1).cast("string")), F.substring(mapped, F.length(code) + 2, F.length(mapped)))
+    iban = F.concat(F.substring(form, 1, 2), F.substring(mapped, F.lit(3), F.length(mapped)))
+    # Short addresses are few: from the fourth draw on their domains become longer.
+    label = F.regexp_extract(form, _LAST_LABEL, 1)
+    more = F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), attempt)), lambda i: F.substring(F.lit(_LOWER), _draw(d, 99 - i, 26) + 1, F.lit(1))), "")
+    email = F.concat(F.substring(mapped, F.lit(1), F.length(form) - F.length(label)), F.when(attempt < 4, "").otherwise(more), label)
     ip = F.array_join(F.transform(F.split(form, r"\."), lambda _, i: (_draw(d, i, 253) + 1).cast("string")), ".")
     cyrillic = form.rlike(r"\p{IsCyrillic}")
     pick = lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), _draw(d, i, len(names)) + 1)
@@ -115,7 +132,7 @@ def surrogate_form(kind: Column, form: Column, d: Column, attempt: Column, femal
     tail = F.when(attempt == 0, "").otherwise(F.array_join(longer, ""))
     words = F.size(F.split(form, " "))
     name = F.when(words > 1, F.concat(given, F.lit(" "), family, tail)).otherwise(F.concat(family, tail))
-    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", number).when(kind == "name", name).otherwise(mapped)
+    return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", number).when(kind == "name", name).otherwise(mapped)
 
 
 def _is_female(e: Column) -> Column:
@@ -128,33 +145,44 @@ def dressed(e: Column, kind: Column, form: Column, surrogate: Column) -> Column:
     The last label of a mail domain, a country code behind +, an IBAN's country, the word before a secret
     and a name's form of address are fixed parts.
     """
-    keep = F.when(kind == "secret", F.length(F.regexp_extract(e, r"\A(AKIA|[A-Za-z_]+(?:=| = | ?: ?)\"?)", 1))).when(kind == "phone", F.length(F.regexp_extract(e, r"\A(\+[0-9]{1,3})(?=[^0-9])", 1))).when(kind == "iban", 2).otherwise(0)
-    stop = F.when(kind == "email", F.length(e) - F.length(F.regexp_extract(e, r"(\.[A-Za-z]+)\z", 1))).otherwise(F.length(e))
+    keep = F.when(kind == "secret", F.length(F.regexp_extract(e, r"\A(AKIA|[A-Za-z_]+(?:=| = | ?: ?)\"?)", 1))).otherwise(0)
+    label = F.regexp_extract(e, _LAST_LABEL, 1)
+    stop = F.length(e) - F.when(kind == "email", F.length(label)).otherwise(0)
+    letters = F.when(kind == "phone", F.regexp_replace(surrogate, "[^0-9]", "")).otherwise(surrogate)
     start = F.struct(F.lit("").alias("o"), F.lit(0).alias("k"), F.lit(0).alias("i"))
 
     def step(a: Column, c: Column) -> Column:
         part = c.between("0", "9") | c.between("a", "z") | c.between("A", "Z")
-        new = F.substring(surrogate, a["k"] + F.when(kind == "secret", 1 - keep).otherwise(1), F.lit(1))
+        new = F.substring(letters, a["k"] + F.when(kind == "secret", 1 - keep).otherwise(1), F.lit(1))
         new = F.when(c.between("A", "Z"), F.upper(new)).otherwise(new)
         inside = (a["i"] >= keep) & (a["i"] < stop)
         counts = F.when(kind == "secret", F.lit(True)).otherwise(part)
         return F.struct(F.concat(a["o"], F.when(part & inside, new).otherwise(c)).alias("o"), (a["k"] + F.when(counts & (part | (a["i"] < keep)), 1).otherwise(0)).alias("k"), (a["i"] + 1).alias("i"))
 
     filled = F.aggregate(F.split(e, ""), start, step, lambda a: a["o"])
-    return F.when(kind == "ip", surrogate).when(kind == "name", F.concat(F.regexp_extract(e, r"\A(\S+ )", 1), surrogate)).otherwise(filled)
+    # What a later draw added to an address goes before the last label.
+    more = F.substring(surrogate, F.length(form) - F.length(label) + 1, F.length(surrogate) - F.length(form))
+    email = F.concat(F.substring(filled, F.lit(1), stop), more, label)
+    return F.when(kind == "email", email).when(kind == "ip", surrogate).when(kind == "name", F.concat(F.regexp_extract(e, r"\A(\S+ )", 1), surrogate)).otherwise(filled)
 
 
 def _described(entities: Column) -> Column:
-    """Array of (e, kind, form, female); each step's values are computed once."""
+    """Array of (e, kind, form, female); each step's values are computed once. female: a given name to draw is."""
     kinds = F.transform(entities, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("form"), (_is_female(x["e"]) & (x["kind"] == "name")).alias("female")))
+    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("form"), (_is_female(x["e"]) & (x["kind"] == "name") & (F.size(F.split(x["e"], " ")) > 2)).alias("female")))
+
+
+def _entry(kind: Column, form: Column, female: Column) -> Column:
+    """What an override is known by."""
+    return F.concat_ws("|", kind, female.cast("string"), form)
 
 
 def _forms(docs: DataFrame) -> DataFrame:
     """(kind, form, female) of every entity of the corpus, once each, counted down before any shuffle."""
     found = docs.select(F.explode(F.array_distinct(_described(mentions(F.col("text"))))).alias("x")).select("x.kind", "x.form", "x.female")
+    # Full names of both genders are checked by gender, as that decides what is written.
     # A secret of punctuation alone has nothing to replace.
-    return found.where("form <> ''").groupBy("kind", "form").agg(F.max("female").alias("female"))
+    return found.where("form <> ''").distinct()
 
 
 def overrides(docs: DataFrame, key: str) -> DataFrame:
@@ -167,15 +195,15 @@ def overrides(docs: DataFrame, key: str) -> DataFrame:
     table = spool(draw(forms))
     for _ in range(MOST_ATTEMPTS):
         # Of the forms that meet in one surrogate the least keeps it; one that is a form of the corpus nobody keeps.
-        shared = table.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        real = table.select("kind", F.col("form").alias("s")).join(table.select("kind", F.lower("surrogate").alias("s")), ["kind", "s"], "left_semi").select("kind", "s", F.lit(None).cast("string").alias("first"))
+        shared = table.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min(F.struct("form", "female")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        real = table.select("kind", F.col("form").alias("s")).join(table.select("kind", F.lower("surrogate").alias("s")), ["kind", "s"], "left_semi").select("kind", "s", F.lit(None).cast("struct<form:string,female:boolean>").alias("first"))
         clash = shared.select("kind", "s", "first").unionByName(real).groupBy("kind", "s").agg(F.min(F.struct(F.col("first").isNotNull(), "first")).alias("x")).select("kind", "s", F.col("x.first").alias("first"))
         clash = spool(clash)
         if not clash.limit(1).count():
             drop_spool(clash)
             return table.where("attempt > 0")
-        again = table.withColumn("s", F.lower("surrogate")).join(clash, ["kind", "s"], "left_semi").join(clash, ["kind", "s"]).where("first is null or form <> first").select("kind", "form", "female", (F.col("attempt") + 1).alias("attempt"))
-        after = spool(table.join(again.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(draw(again)))
+        again = table.withColumn("s", F.lower("surrogate")).join(clash, ["kind", "s"], "left_semi").join(clash, ["kind", "s"]).where(F.col("first").isNull() | (F.struct("form", "female") != F.col("first"))).select("kind", "form", "female", (F.col("attempt") + 1).alias("attempt"))
+        after = spool(table.join(again.select("kind", "form", "female"), ["kind", "form", "female"], "left_anti").unionByName(draw(again)))
         drop_spool(table, clash)
         table = after
     raise ValueError(f"surrogates still collide after {MOST_ATTEMPTS} draws")
@@ -192,22 +220,22 @@ def replace_pii(docs: DataFrame, key: str = "orbiton") -> DataFrame:
     n = again.limit(BROADCAST_ROWS + 1).count()
     work = docs.withColumn("_e", mentions(F.col("text")))
     if n:
-        again = again.select(F.concat_ws("|", "kind", "form").alias("_k"), "surrogate")
+        again = again.select(_entry(F.col("kind"), F.col("form"), F.col("female")).alias("_k"), "surrogate")
         if n <= BROADCAST_ROWS:
             # At most BROADCAST_ROWS rows of two short strings.
             table = again.agg(F.map_from_entries(F.collect_list(F.struct("_k", "surrogate"))).alias("_again"))
             work = work.crossJoin(F.broadcast(table))
         else:
             row = F.xxhash64("text").alias("_t"), F.col("text").alias("_text")
-            own = docs.where(F.size(mentions(F.col("text"))) > 0).select("text").distinct().select(*row, F.explode(F.array_distinct(mentions(F.col("text")))).alias("e"))
-            own = own.withColumn("kind", kind_of(F.col("e"))).withColumn("_k", F.concat_ws("|", "kind", canonical(F.col("e"), F.col("kind"))))
+            own = docs.where(F.size(mentions(F.col("text"))) > 0).select("text").distinct().select(*row, F.explode(_described(F.array_distinct(mentions(F.col("text"))))).alias("x"))
+            own = own.select("_t", "_text", "x.*").withColumn("_k", _entry(F.col("kind"), F.col("form"), F.col("female")))
             maps = own.join(again, "_k").select("_t", "_text", "_k", "surrogate").distinct().groupBy("_t", "_text").agg(F.map_from_entries(F.collect_list(F.struct("_k", "surrogate"))).alias("_again"))
             work = work.withColumn("_t", F.xxhash64("text")).join(maps, "_t", "left").withColumn("_again", F.when(F.col("_text") == F.col("text"), F.col("_again"))).drop("_text")
     else:
         work = work.withColumn("_again", F.lit(None).cast("map<string,string>"))
 
     zero = F.lit(0)
-    known = F.transform(_described(F.col("_e")), lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "form", "female")), F.element_at(F.col("_again"), F.concat_ws("|", x["kind"], x["form"])).alias("over"), _digest(key, x["kind"], x["form"], zero).alias("d")))
+    known = F.transform(_described(F.col("_e")), lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "form", "female")), F.element_at(F.col("_again"), _entry(x["kind"], x["form"], x["female"])).alias("over"), _digest(key, x["kind"], x["form"], zero).alias("d")))
     drawn = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["form"].alias("form"), F.coalesce(x["over"], surrogate_form(x["kind"], x["form"], x["d"], zero, x["female"])).alias("s")))
     placed = F.transform(drawn, lambda x: dressed(x["e"], x["kind"], x["form"], x["s"]))
     between = F.split("text", PATTERN, -1)
