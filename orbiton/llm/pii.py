@@ -31,6 +31,25 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra",
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 
 _NAME_WORD = r"\p{Lu}[\p{Ll}'’-]+"
+# Between two digits of a number: an optional separator, brackets about it.
+_GAP = r"\)?(?: ?[/-] ?|[ .])?\(?"
+#: Layouts of telephone numbers, of 8 to 15 digits, the longer before the shorter where both may start.
+_PHONES = [
+    # Behind +: ten digits of North America, nine of France and Spain, any others.
+    rf"\+1(?:{_GAP}[0-9]){{10}}(?![0-9])",
+    rf"\+3[34](?:{_GAP}\(0\))?(?:{_GAP}[0-9]){{9}}(?![0-9])",
+    rf"\+[0-9](?:{_GAP}[0-9]){{7,14}}(?![0-9])",
+    # A code in brackets, then seven digits, or any number behind a German code.
+    r"\([0-9]{2,4}\)[ ./-]?[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{2}(?![0-9])",
+    r"\(0[1-9][0-9]{0,4}\)(?: ?[/-] ?| )?[0-9](?:[ .-]?[0-9]){5,8}(?![0-9])",
+    # Pairs of digits: France, then Spain. Longer rows of pairs are no numbers.
+    r"(?<!(?<![0-9])[0-9]{2}[ .-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})(?!(?:[ .-][0-9]{2}){2}|[0-9])",
+    r"(?<!(?<![0-9])[0-9]{2}[ .-])(?:[6-9][0-9]{2}(?:(?: [0-9]{2}){3}|(?:\.[0-9]{2}){3}|(?:-[0-9]{2}){3})|9[0-9] [0-9]{3}(?: [0-9]{2}){2})(?!(?:[ .-][0-9]{2}){2}|[0-9])",
+    # Germany: a code with its 0, apart from the rest.
+    r"(?<![0-9][.,])0[1-9][0-9]{1,4}(?: ?[/-] ?| )[0-9](?:[ .-]?[0-9]){4,8}(?![0-9])",
+    # Three groups.
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}",
+]
 #: By type, in order of precedence, the pattern of an entity.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -39,7 +58,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?=[+(0-9])(?:" + "|".join(_PHONES) + r")(?![0-9])",
     "name": r"(?<![\p{L}])(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES]) + r")\.? " + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -76,7 +95,7 @@ def canonical(e: Column, kind: Column) -> Column:
     body = F.lower(F.regexp_extract(e, r"\A(?:AKIA|[A-Za-z_]+(?:=| = | ?: ?)\"?)?([A-Za-z0-9+/_-]+)\"?\z", 1))
     label = F.lower(F.regexp_extract(e, _LAST_LABEL, 1))
     email = F.concat(F.regexp_replace(F.substring(F.lower(e), F.lit(1), F.length(e) - F.length(label)), r"[^a-z0-9]", ""), label)
-    phone = F.when(e.startswith("+"), F.regexp_replace(plain, rf"\A({_COUNTRY})", r"+$1 ")).otherwise(plain)
+    phone = F.when(e.startswith("+"), F.regexp_replace(F.regexp_replace(e, r"\(0\)|[^0-9]", ""), rf"\A({_COUNTRY})", r"+$1 ")).otherwise(plain)
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", F.regexp_replace(body, r"[^a-z0-9]", "")).when(kind == "name", F.regexp_replace(F.lower(e), r"\A\S+ ", "")).when(kind == "ip", e).otherwise(plain)
 
 
@@ -159,7 +178,10 @@ def dressed(e: Column, kind: Column, form: Column, surrogate: Column) -> Column:
         counts = F.when(kind == "secret", F.lit(True)).otherwise(part)
         return F.struct(F.concat(a["o"], F.when(part & inside, new).otherwise(c)).alias("o"), (a["k"] + F.when(counts & (part | (a["i"] < keep)), 1).otherwise(0)).alias("k"), (a["i"] + 1).alias("i"))
 
-    filled = F.aggregate(F.split(e, ""), start, step, lambda a: a["o"])
+    # A (0) within an international number is for dialling at home and no digit of it.
+    trunk = (kind == "phone") & e.startswith("+") & e.contains("(0)")
+    filled = F.aggregate(F.split(F.when(trunk, F.replace(e, F.lit("(0)"), F.lit("()"))).otherwise(e), ""), start, step, lambda a: a["o"])
+    filled = F.when(trunk, F.replace(filled, F.lit("()"), F.lit("(0)"))).otherwise(filled)
     # What a later draw added to an address goes before the last label.
     more = F.substring(surrogate, F.length(form) - F.length(label) + 1, F.length(surrogate) - F.length(form))
     email = F.concat(F.substring(filled, F.lit(1), stop), more, label)

@@ -333,6 +333,24 @@ def test_short_addresses_and_full_names_stay_distinct(make_docs):
     assert len(set(got)) == 528 and not set(got) & {*addresses, *names}
 
 
+def test_telephone_numbers_of_several_countries(spark):
+    numbers = "(286)555-5136,+49 30 1234567,+49 (0)30 1234567,+49 (0) 30 / 123 45 67,+33 6 12 34 56 78,+33 (0)6 12 34 56 78,06 12 34 56 78,06.12.34.56.78,01-42-68-53-00,+34 612 34 56 78,612 34 56 78,91 123 45 67,(91) 123 45 67,030/1234567,089 / 12 34 56,(030) 1234567,(06131) 12 34 56,0171 1234567,0171-1234567,030 123 45 67,+1 (521) 555-6210,+1-521-555-6210,+15215556210,521-555-6210,521.555.6210,(521) 555-6210,+44 20 7946 0958".split(",")
+    df = spark.createDataFrame([(i, f"a: {x}, 2024 or {x} 17 x") for i, x in enumerate(numbers)], "doc_id long, text string")
+    found = {r.doc_id: r.m for r in df.select("doc_id", pii.mentions(F.col("text")).alias("m")).collect()}
+    for i, x in enumerate(numbers):
+        # A number of open length may take in what stands behind it, never less than the number.
+        assert len(found[i]) == 2 and found[i][0] == x and found[i][1].startswith(x), (x, found[i])
+    written = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).collect()}
+    shape = lambda x: re.sub("[0-9]", "d", x)
+    assert all(shape(written[i]) == shape(x) and written[i] != x for i, x in enumerate(numbers))
+    digits = lambda x: re.sub(r"\(0\)|[^0-9]", "", x)
+    assert digits(written[1]) == digits(written[2]) and digits(written[4]) == digits(written[5]) and digits(written[20]) == digits(written[22])
+    assert "(0)" in written[2] and written[4].startswith("+33 ")
+    clean = ["on 2024-01-15 and 15.01.2024, 01/02/2024", "1990-1995", "rows 01 02 03 04 05 06 07 08", "0.12345678 and 3,045 1234", "ISBN 0306406152", "12345678", "10:30-11:45"]
+    rows = spark.createDataFrame([(c,) for c in clean], "text string").where(F.size(pii.mentions(F.col("text"))) > 0).collect()
+    assert not rows, rows
+
+
 def test_pii_of_nothing(make_docs):
     assert pii.replace_pii(make_docs([])).count() == 0
 
