@@ -30,12 +30,12 @@ def plain_splitter(pattern: str) -> Callable[[str], list[str]] | None:
 class PieceEncoder:
     """encode_words gives the ids, as bytes, of each of a list of pre-tokens; split cuts a text into pre-tokens.
 
-    whole, if given, encodes texts that aren't plain. The memo has two generations: when the young one is
+    whole, if given, encodes texts that aren't plain and those that hold one of added. The memo has two generations: when the young one is
     full, the old one is forgotten.
     """
 
-    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, limit: int = WORDS):
-        self.limit = limit
+    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, limit: int = WORDS, added: tuple[str, ...] = ()):
+        self.limit, self.added = limit, added
         self.split, self.encode_words, self.whole = split, encode_words, whole
         self.split_plain = plain_splitter(pattern)
         self.young: dict[str, bytes] = {}
@@ -45,7 +45,7 @@ class PieceEncoder:
         """The ids of each text, as bytes."""
         cut: list[list[str] | None] = []
         for x in texts:
-            if self.split_plain and _PLAIN.fullmatch(x):
+            if self.split_plain and not any(a in x for a in self.added) and _PLAIN.fullmatch(x):
                 cut.append(self.split_plain(x))
             else:
                 cut.append(None if self.whole else self.split(x))

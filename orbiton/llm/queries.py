@@ -63,7 +63,7 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_output import token_corpus
 
-    return token_corpus(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, end_id=2, vocabulary=50_257)
+    return token_corpus(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, end_id=2, vocabulary=50_257, added_tokens=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,13 +68,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view(f"<u{width}").reshape(-1).astype("<u4", copy=False)
 
 
-def _load(path: str, pattern: str) -> PieceEncoder:
+def _load(path: str, pattern: str, added_tokens: bool) -> PieceEncoder:
     import regex
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
+    added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()) if added_tokens else ()
     bytes_of = lambda e: array("I", e.ids).tobytes()
 
     # The library's model takes a pre-token with each byte as one visible character: those of Latin-1 that
@@ -89,30 +90,31 @@ def _load(path: str, pattern: str) -> PieceEncoder:
     def encode_words(words: list[str]) -> list[bytes]:
         return [array("I", [t.id for t in tokenize(seen_as(w))]).tobytes() for w in words]
 
-    # Texts with characters that pattern engines may class differently go to the library whole.
-    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)), WORDS)
+    # Texts with characters that pattern engines may class differently go to the library whole, and so do
+    # those with an added token, which the library cuts out before it looks for pre-tokens.
+    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)), WORDS, added)
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> PieceEncoder:
+def encoder(path: str, pattern: str, added_tokens: bool = False) -> PieceEncoder:
     """One encoder by a tokenizers file for each worker; ids are unsigned 32-bit."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = _load(path, pattern)
-    return _encoders[path, pattern]
+    if (path, pattern, added_tokens) not in _encoders:
+        _encoders[path, pattern, added_tokens] = _load(path, pattern, added_tokens)
+    return _encoders[path, pattern, added_tokens]
 
 
 _RAW = "part int, seq int, first long, n long, ids_of binary, lengths binary, ids binary, counts binary"
 
 
-def _encode_sorted(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int) -> DataFrame:
+def _encode_sorted(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int, added_tokens: bool) -> DataFrame:
     """Segments of plain ids; the documents ascend by (part, seq) and within a segment. counts: of each id, in a part's last segment."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, part, seq, first = encoder(tokenizer_path, pattern), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, first = encoder(tokenizer_path, pattern, added_tokens), TaskContext.get().partitionId(), 0, 0
         keys, held, size = [], [], 0
         counts = np.zeros(vocabulary, np.int64)
 
@@ -157,16 +159,17 @@ def _rank_order(raw: DataFrame, size: int) -> np.ndarray:
     return np.argsort(-total, kind="stable").astype("<u4")
 
 
-def write_token_corpus(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int) -> str:
+def write_token_corpus(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int, added_tokens: bool = False) -> str:
     """Encode every whole text of docs (doc_id, text), append end_id to each, write the corpus to path.
 
     A null or empty text is the end id alone. Rows with a null doc_id have no place in the order and are
     left out. Repeated rows are written as often as they come. Other columns are ignored; an empty table
-    writes an empty corpus. One shuffle, by doc_id range.
+    writes an empty corpus. One shuffle, by doc_id range. With added_tokens the tokenizer's added tokens, where
+    a text spells them out, get their own ids, as by the library's encode; without, they are text as any other.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    raw = spool(_encode_sorted(docs, tokenizer_path, pattern, end_id, vocabulary), "zstd")
+    raw = spool(_encode_sorted(docs, tokenizer_path, pattern, end_id, vocabulary, added_tokens), "zstd")
     order = _rank_order(raw, vocabulary)
     rank_of = np.empty(vocabulary, "<u4")
     rank_of[order] = np.arange(vocabulary, dtype="<u4")
@@ -210,8 +213,8 @@ def read_token_corpus(spark: SparkSession, path: str, with_ids: bool = False) ->
     return found.join(base, "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
-def token_corpus(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int, path: str | None = None) -> DataFrame:
+def token_corpus(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int, path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Write docs as a token corpus, by default in the shared folder, and read it back."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/orbiton/{uuid.uuid4().hex}"
-    return read_token_corpus(spark, write_token_corpus(docs, path, tokenizer_path, pattern, end_id, vocabulary))
+    return read_token_corpus(spark, write_token_corpus(docs, path, tokenizer_path, pattern, end_id, vocabulary, added_tokens))

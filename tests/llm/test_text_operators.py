@@ -81,6 +81,18 @@ def test_token_corpus(make_docs, odd_texts, monkeypatch):
     assert len(got) == len(odd_texts)
 
 
+def test_token_query_equals_the_library_as_loaded(make_docs, tmp_path):
+    from orbiton.llm.queries import op5_token_binary
+
+    texts = ["ab <|endoftext|> cd", "<|endoftext|>", "plain text", "日本 <|endoftext|><|endoftext|> é", "<|endoftext"]
+    docs = make_docs(texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got, t = {r.doc_id: r for r in op5_token_binary(docs.sparkSession, str(tmp_path)).collect()}, Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_token_corpus_of_nothing_and_of_repeats(make_docs):
     run = lambda docs: token_output.token_corpus(docs, P.path("byte_bpe_50k.json"), P.PATTERN, 2, 50_257)
     assert run(make_docs([])).count() == 0
