@@ -266,6 +266,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, columns as they are, but those that near_duplicates() says another one stands for."""
+    """The rows of docs, columns as they are, but those that near_duplicates() says another one stands for.
+
+    Rows that share a doc_id are documents of their own, judged by their own texts and ordered by doc_id, then
+    text; of rows equal in both one stays. Rows with a null doc_id all stay.
+    """
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # Ids in the order of (doc_id, text), written once, so that they are the same wherever they are read.
+        rows = spool(known.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+        gone = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent).where("not kept").select(F.col("doc_id").alias("_row"))
+        return rows.join(gone, "_row", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

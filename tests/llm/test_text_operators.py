@@ -199,6 +199,13 @@ def test_near_duplicates_of_nothing_and_of_repeats(make_docs):
     assert neardup.near_duplicates(make_docs([prose(30, 1), prose(30, 2)], repeat=(0, 1))).count() == 4
 
 
+def test_rows_that_share_an_id_are_kept_by_their_own_text(make_docs):
+    docs = make_docs([prose(60, 1), prose(60, 2), prose(60, 3)], repeat=(2,))
+    both = docs.unionByName(make_docs([prose(60, 1), prose(60, 4)]).withColumn("doc_id", F.lit(1).cast("long")))
+    kept = sorted((r.doc_id, r.text) for r in neardup.keep_one(both).collect())
+    assert kept == sorted([(0, prose(60, 1)), (1, prose(60, 2)), (1, prose(60, 4)), (2, prose(60, 3))])
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     r = np.random.default_rng(0)
     a = np.unique(r.integers(0, 1 << 63, 900, dtype=np.uint64))
