@@ -5,8 +5,8 @@ What remains is a weighted sample without replacement: each document draws the e
 -ln(u) / quality, documents are taken in key order, and a prefix sum of sizes meets the rest.
 
 The prefix sum never sorts a source in one task. Keys fall into fixed buckets; sums by (source, bucket)
-tell the one bucket of each source in which the budget ends; only that bucket's documents are sorted,
-and buckets are fine enough (BUCKETS) that it holds a tiny part of a source.
+tell the one bucket of each source in which the budget ends. While it holds many documents (MOST_SORTED), it
+is cut again between its own least and largest key; only what is left on the edge is sorted.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import spool
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key buckets of a source: a source of any size is cut into so many pieces by the rank of its keys.
 BUCKETS = 4096
+#: Documents of a source's edge bucket that are sorted in one task; a larger bucket is cut again.
+MOST_SORTED = 20_000
 #: No source is taken more often than this.
 MOST_EPOCHS = 3
 
@@ -79,15 +81,27 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17
     want = targets(d, weights, most)
     want = want.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     want = want.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    sums = sums.withColumn("upto", F.sum("held").over(Window.partitionBy("source").orderBy("bucket")))
-    edge = sums.select(F.col("source").alias("s0"), F.col("bucket").alias("edge"), "upto", (F.col("upto") - F.col("held")).alias("before"))
-    # The bucket in which the rest ends, if there is a rest. One row for each source.
-    held = F.col("source").eqNullSafe(F.col("s0")) & (F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest"))
-    want = spool(want.join(edge, held, "left").select(F.col("source").alias("s1"), "source_size", "target", "epochs", "rest", "edge", "before"))
+
+    def ends(part: DataFrame, start: Column) -> DataFrame:
+        """By source s0, the keys lo to hi of the bucket in which the rest ends, what is before it and its documents n."""
+        sums = part.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first(start).alias("start"))
+        sums = sums.withColumn("upto", F.col("start") + F.sum("held").over(Window.partitionBy("source").orderBy("bucket")))
+        sums = sums.withColumn("before", F.col("upto") - F.col("held")).where("before < rest and upto >= rest")
+        return spool(sums.select(F.col("source").alias("s0"), "lo", "hi", "before", "n"))
+
+    mine = F.col("source").eqNullSafe(F.col("s0"))
+    rests = want.select(F.col("source").alias("s1"), "rest")
+    edge = ends(d.join(rests, F.col("source").eqNullSafe(F.col("s1"))).drop("s1"), F.lit(0).cast("long"))
+    # Each round cuts the range of keys by BUCKETS; documents of one key can't be parted.
+    while edge.where((F.col("n") > MOST_SORTED) & (F.col("hi") > F.col("lo"))).limit(1).count():
+        inside = d.join(edge, mine & F.col("key").between(F.col("lo"), F.col("hi"))).join(rests, F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
+        finer = F.when((F.col("n") > MOST_SORTED) & (F.col("hi") > F.col("lo")), F.least(F.lit(BUCKETS - 1), F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS))).otherwise(0)
+        edge = ends(inside.withColumn("bucket", finer.cast("int")), F.col("before"))
+    # One row for each source; without a rest there is no edge.
+    want = spool(want.join(edge, mine, "left").select(F.col("source").alias("s1"), "source_size", "target", "epochs", "rest", "lo", "hi", "before"))
     d = d.join(want, F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
-    on_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    sure = d.where(~on_edge).withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
+    on_edge = F.coalesce(F.col("key").between(F.col("lo"), F.col("hi")), F.lit(False))
+    sure = d.where(~on_edge).withColumn("more", F.coalesce(F.col("key") < F.col("lo"), F.lit(False)))
     inner = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = d.where(on_edge).withColumn("more", F.col("before") + F.sum("size").over(inner) - F.col("size") / 2 <= F.col("rest"))
     out = sure.unionByName(last)

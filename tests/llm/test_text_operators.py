@@ -272,6 +272,16 @@ def test_mix_meets_its_targets(make_docs):
     assert collections.Counter(r.doc_id for r in mixed.select("doc_id").collect()) == {k: v for k, v in copies.items() if v}
 
 
+def test_a_crowded_edge_is_cut_again(make_docs, monkeypatch, spark):
+    docs = make_docs(["1234 5678 9"] * 300 + ["a b c d"] * 100, source=F.when(F.col("doc_id") < 300, "junk").otherwise("good"))
+    whole = sorted(map(tuple, mixing.plan(docs, weights=(5, 1)).collect()))
+    monkeypatch.setattr(mixing, "MOST_SORTED", 1)
+    cuts = []
+    monkeypatch.setattr(mixing, "spool", lambda df, f=mixing.spool: cuts.append(df.columns) or f(df))
+    assert sorted(map(tuple, mixing.plan(docs, weights=(5, 1)).collect())) == whole
+    assert sum(c[0] == "s0" for c in cuts) > 1
+
+
 def test_mix_of_nothing_of_blanks_and_of_repeats(make_docs):
     assert mixing.plan(make_docs([])).count() == 0
     assert [r.taken for r in mixing.plan(make_docs([None, ""])).collect()] == [0, 0]
