@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .pretokens import PieceEncoder
+from .pretokens import PieceEncoder, text_blocks
 
 
 
@@ -127,7 +127,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        return self.pieces.encode(texts)
+        ids, n = self.pieces.encode(texts)
+        data, stop = memoryview(ids.tobytes()), np.cumsum(n) * 4
+        return [bytes(data[a:b]) for a, b in zip((stop - n * 4).tolist(), stop.tolist())]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -157,17 +159,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches):
         c = codec(ranks_path, pattern)
         for batch in batches:
-            ids, sizes, sums, back, same = [], [], [], [], []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for text, coded in ((t, x) for i in range(0, len(texts), 256) for t, x in zip(texts[i : i + 256], c.encode(texts[i : i + 256]))):
-                decoded = c.decode(coded)
-                if with_ids:
-                    ids.append(coded)
-                sizes.append(len(coded) >> 2)
-                sums.append(hashlib.sha256(coded).hexdigest())
-                back.append(hashlib.sha256(decoded).hexdigest())
-                same.append(decoded == text.encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *([pa.array(ids, pa.binary())] if with_ids else []), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], [*names, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            at = 0
+            for _, texts in text_blocks((None, x or "") for x in batch.column(1).to_pylist()):
+                ids, sizes, sums, back, same = [], [], [], [], []
+                for text, coded in zip(texts, c.encode(texts)):
+                    decoded = c.decode(coded)
+                    if with_ids:
+                        ids.append(coded)
+                    sizes.append(len(coded) >> 2)
+                    sums.append(hashlib.sha256(coded).hexdigest())
+                    back.append(hashlib.sha256(decoded).hexdigest())
+                    same.append(decoded == text.encode())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *([pa.array(ids, pa.binary())] if with_ids else []), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], [*names, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+                at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}" + ", ids binary" * with_ids + ", n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -29,11 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .common import drop_spool, shared_dir, small_batches, spool
-from .pretokens import PieceEncoder
+from .pretokens import PieceEncoder, text_blocks
 
 SEGMENT_IDS = 1 << 18
-#: Pre-tokens in a generation of a worker's memo.
-WORDS = 650_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -92,7 +90,7 @@ def _load(path: str, pattern: str, added_tokens: bool) -> PieceEncoder:
 
     # Texts with characters that pattern engines may class differently go to the library whole, and so do
     # those with an added token, which the library cuts out before it looks for pre-tokens.
-    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)), WORDS, added)
+    return PieceEncoder(pattern, regex.compile(pattern).findall, encode_words, lambda x: bytes_of(tokenizer.encode(x, add_special_tokens=False)), added=added)
 
 
 _encoders: dict[tuple[str, str, bool], PieceEncoder] = {}
@@ -109,34 +107,33 @@ _RAW = "part int, seq int, first long, n long, ids_of binary, lengths binary, id
 
 
 def _encode_sorted(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, vocabulary: int, added_tokens: bool) -> DataFrame:
-    """Segments of plain ids; the documents ascend by (part, seq) and within a segment. counts: of each id, in a part's last segment."""
+    """Segments of plain ids; the documents ascend by (part, seq) and within a segment. A part's last row holds no ids, but counts of each id."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         enc, part, seq, first = encoder(tokenizer_path, pattern, added_tokens), TaskContext.get().partitionId(), 0, 0
-        keys, held, size = [], [], 0
         counts = np.zeros(vocabulary, np.int64)
 
-        def segment(last=False):
-            ids = np.frombuffer(b"".join(held), "<u4")
-            counts[:] += np.bincount(ids, minlength=vocabulary)
-            data = ids.astype(kind).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([np.array(keys, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) >> 2 for x in held], "<u4").tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([counts.tobytes() if last else None], pa.binary())], ["part", "seq", "first", "n", "ids_of", "lengths", "ids", "counts"])
-
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), 256):
-                for key, coded in zip(ids[i : i + 256], enc.encode([x or "" for x in texts[i : i + 256]])):
-                    keys.append(key)
-                    held.append(coded + end)
-                    size += len(held[-1]) >> 2
-                    if size >= SEGMENT_IDS:
-                        yield segment()
-                        seq, first = seq + 1, first + size
-                        keys, held, size = [], [], 0
-        if keys or seq:
-            yield segment(last=True)
+        def row(n, keys, lengths, ids, counted=None):
+            values = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, lengths, ids, counted))]
+            return pa.RecordBatch.from_arrays(values, ["part", "seq", "first", "n", "ids_of", "lengths", "ids", "counts"])
+
+        texts = ((key, x or "") for batch in batches for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for keys, block in text_blocks(texts):
+            ids, lengths = enc.encode(block, end)
+            counts += np.bincount(ids, minlength=vocabulary)
+            stop = np.cumsum(lengths)
+            keys, a = np.array(keys, "<i8"), 0
+            while a < len(keys):
+                # Documents up to the one that reaches SEGMENT_IDS.
+                low = int(stop[a] - lengths[a])
+                b = min(len(keys), int(np.searchsorted(stop, low + SEGMENT_IDS)) + 1)
+                n = int(stop[b - 1]) - low
+                yield row(n, keys[a:b].tobytes(), lengths[a:b].astype("<u4").tobytes(), ids[low : low + n].astype(kind).tobytes())
+                seq, first, a = seq + 1, first + n, b
+        if seq:
+            yield row(0, b"", b"", b"", counts.tobytes())
 
     key = F.col("doc_id")
     return docs.select("doc_id", "text").where(key.isNotNull()).repartitionByRange(key).sortWithinPartitions("doc_id", "text").mapInArrow(run, _RAW)
@@ -181,7 +178,7 @@ def write_token_corpus(docs: DataFrame, path: str, tokenizer_path: str, pattern:
                 control, data = pack(ranks.value[np.frombuffer(batch.column(6)[i].as_buffer(), kind)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(6)), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "seq", "first", "n", "ids_of", "lengths", "control", "data"])
 
-    raw.drop("counts").mapInArrow(run, "part int, seq int, first long, n long, ids_of binary, lengths binary, control binary, data binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    raw.where("counts is null").drop("counts").mapInArrow(run, "part int, seq int, first long, n long, ids_of binary, lengths binary, control binary, data binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(order.tobytes()),)], "id_of binary").coalesce(1).write.parquet(f"{path}/ranks")
     drop_spool(raw)
     return path

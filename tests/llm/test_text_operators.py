@@ -9,10 +9,11 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from hypothesis import given, settings, strategies
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbiton.llm import byte_bpe, lz_fingerprint, mixing, neardup, pii, quality, suffix_dedup, token_output
+from orbiton.llm import byte_bpe, lz_fingerprint, mixing, neardup, pii, pretokens, quality, suffix_dedup, token_output
 
 from .conftest import prose
 
@@ -93,6 +94,21 @@ def test_token_query_equals_the_library_as_loaded(make_docs, tmp_path):
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+@settings(max_examples=300, deadline=None)
+@given(strategies.lists(strategies.text(alphabet="ab' \n\t,.1é あs<|>\x00\x01\x02", max_size=14), max_size=6), strategies.integers(0, 30))
+def test_blocks_are_encoded_as_their_texts(texts, words):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    e = token_output.encoder(P.path("byte_bpe_50k.json"), P.PATTERN, True)
+    before, pretokens.WORDS = pretokens.WORDS, words
+    try:
+        for _ in range(2):
+            ids, n = e.encode(texts, np.array([2], "<u4").tobytes())
+            stop = np.cumsum(n)
+            assert [ids[b - k : b].tolist() for b, k in zip(stop, n)] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    finally:
+        pretokens.WORDS = before
+
+
 def test_token_corpus_of_nothing_and_of_repeats(make_docs):
     run = lambda docs: token_output.token_corpus(docs, P.path("byte_bpe_50k.json"), P.PATTERN, 2, 50_257)
     assert run(make_docs([])).count() == 0
