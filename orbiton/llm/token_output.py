@@ -78,15 +78,17 @@ def _load(path: str, pattern: str, added_tokens: bool) -> PieceEncoder:
 
     # The library's model takes a pre-token with each byte as one visible character: those of Latin-1 that
     # are visible stand for themselves, the others follow from U+0100 on.
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(visible)))}
+    visible = [*range(33, 127), *range(161, 173), *range(174, 255)]
+    shown = np.zeros(256, "<u2")
+    shown[visible] = visible
+    # 0xFF is in no UTF-8 text; shown as zero it stands between pre-tokens.
+    hidden = np.setdiff1d(np.arange(256), visible)
+    shown[hidden], shown[255] = 256 + np.arange(len(hidden)), 0
     tokenize = tokenizer.model.tokenize
 
-    def seen_as(word: str) -> str:
-        return word.replace(" ", shown[32]).replace("\n", shown[10]) if word.isascii() and word.strip().isprintable() else word.encode().decode("latin-1").translate(shown)
-
     def encode_words(words: list[str]) -> list[bytes]:
-        return [array("I", [t.id for t in tokenize(seen_as(w))]).tobytes() for w in words]
+        seen = shown[np.frombuffer(b"\xff".join([w.encode() for w in words]), np.uint8)].tobytes().decode("utf-16-le")
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in seen.split("\0")] if words else []
 
     # Texts with characters that pattern engines may class differently go to the library whole, and so do
     # those with an added token, which the library cuts out before it looks for pre-tokens.
