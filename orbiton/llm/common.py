@@ -43,14 +43,18 @@ def spool(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_spool(*tables: DataFrame) -> None:
     """Delete tables that spool() wrote and nothing reads any more."""
     for df in tables:
         path = getattr(df, "_spool_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

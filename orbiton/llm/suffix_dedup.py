@@ -9,18 +9,26 @@ with windows of the same anchor. A segment is a maximal run of a document's wind
 2. Each chunk sends its distinct anchors, 8 bytes each, to the anchors' buckets; a bucket answers with
    the anchors that two documents hold.
 3. Each chunk sends its distinct segments of those anchors, with the least doc_id that holds each. A
-   bucket finds, for every window of every segment, the least doc_id of that window. Where an anchor
-   has one distinct segment, that is the segment's. Where it has several, the suffixes of the segments
-   are put in order (grouping_suffix_array) and runs of suffixes that agree in LENGTH bytes are classes.
+   bucket finds, for every window of every segment, the least doc_id of that window. Where an anchor has
+   several distinct segments, their suffixes are put in order (grouping_suffix_array) and runs of suffixes
+   that agree in LENGTH bytes are the classes; all strings of an anchor are in one array, and nothing else
+   joins windows. Windows whose 64-bit hash no other window of the bucket has can have no twin and are
+   left out of the arrays beforehand. Where an anchor has one distinct segment its windows are alike
+   in all that hold it, and there is nothing to order.
 4. Each chunk looks its windows up and cuts.
 
+An anchor with many distinct segments (HOT) would gather a large group: its windows are sent one by one
+instead, each a segment of its own that is its own anchor, so that they spread over all buckets.
+
 Sent are distinct strings of a chunk, never occurrences: a passage that a third of all documents hold
-is a few records for each chunk.
+is a few records for each chunk. Strings are known by 128 bits. The chunks are a table bucketed by chunk,
+so that only answers are shuffled to them, not texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BASE, _LETTERS, U64, _power_table, drop_spool, free_shuffles, mix64, small_batches, spool
+from .common import _BASE, _LETTERS, U64, _power_table, delete, drop_spool, free_shuffles, mix64, shared_dir, small_batches, spool
 
 LENGTH = 50
 #: Bytes that an anchor hashes; a window holds LENGTH - K + 1 of them.
@@ -38,8 +46,10 @@ CHUNK_BYTES = 8 << 20
 PIECE = 1 << 20
 #: Text bytes for one bucket of anchors.
 BUCKET_BYTES = 8 << 20
-#: Symbols that one suffix array orders; anchors' strings are packed into arrays of at most about so many.
+#: Symbols that one suffix array orders; whole anchors' strings are packed into arrays of about so many.
 ORDERED = 1 << 16
+#: An anchor with more distinct segments than this is sent by windows. Those of a chunk with at most FEW are counted as one.
+HOT, FEW = 1_000, 4
 
 _PLACE = U64((1 << 22) - 1)
 
@@ -147,19 +157,38 @@ def _pieces(texts: list[bytes]):
         yield block
 
 
-def string_hashes(text: np.ndarray, first: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
-    """64 bits of each string of text from the places first."""
+_CHECK_BASE = 0xA24BAED4963EE407
+_CHECK_LETTERS = mix64(_LETTERS)
+
+
+def string_hashes(text: np.ndarray, first: np.ndarray, sizes: np.ndarray | int, check: bool = False) -> np.ndarray:
+    """64 bits of each string of text from the places first; with check, other 64 bits."""
     n = len(text)
-    up, down = _power_table("up", _BASE, n + 1), _power_table("down", pow(_BASE, -1, 1 << 64), n + 1)
+    name, base, letters = ("check", _CHECK_BASE, _CHECK_LETTERS) if check else ("", _BASE, _LETTERS)
+    up, down = _power_table(name or "up", base, n + 1), _power_table(name + "down", pow(base, -1, 1 << 64), n + 1)
     total = np.zeros(n + 1, U64)
-    np.cumsum(_LETTERS[text] * up[:n], out=total[1:])
+    np.cumsum(letters[text] * up[:n], out=total[1:])
     return mix64((total[first + sizes] - total[first]) * down[first])
 
 
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, the first one first, and where in that order a new key starts."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
+
+
 class Segments:
-    """The segments of one block: anchor and content hashes, document number, first window and number of windows."""
+    """The segments of one block: anchor, content and check hashes, document number, first window and number of windows.
+
+    Of anchors that are hot, each window is a segment.
+    """
 
-    def __init__(self, block: list[tuple[int, int, bytes]]):
+    def __init__(self, block: list[tuple[int, int, bytes]], hot: np.ndarray | None = None):
         self.raw = b"".join(p for _, _, p in block)
         n = len(self.raw)
         buf = np.frombuffer(self.raw, np.uint8)
@@ -192,7 +221,17 @@ class Segments:
         ok = first <= last[owner]
         self.first, self.count, owner = first[ok], count[ok], owner[ok]
         self.anchor = h[place[self.first]]
+        if hot is not None and len(hot):
+            single = np.isin(self.anchor, hot)
+            n = np.where(single, self.count, 1)
+            self.first = np.repeat(self.first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self.count, owner, self.anchor, single = (np.repeat(x, n) for x in (self.count, owner, self.anchor, single))
+            self.count[single] = 1
         self.content = string_hashes(buf, self.first, self.count + LENGTH - 1)
+        if hot is not None:
+            self.check = string_hashes(buf, self.first, self.count + LENGTH - 1, True)
+            if len(hot):
+                self.anchor[single] = self.content[single]
         self.doc = np.array([i for i, _, _ in block])[owner]
         self.window = self.first - start[owner] + np.array([a for _, a, _ in block])[owner]
 
@@ -223,8 +262,10 @@ def least_by_window(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     return [by_place[a : a + n - LENGTH + 1] for a, n in zip(starts, sizes)]
 
 
-def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _squeeze(data: bytes, _by=[]) -> bytes:
+    if not _by:
+        _by.append(zstandard.ZstdCompressor(level=3))
+    return _by[0].compress(data)
 
 
 def _restore(data: bytes) -> bytes:
@@ -260,159 +301,171 @@ def _open(doc_ids: bytes, sizes: bytes, texts: bytes) -> tuple[np.ndarray, list[
     return np.frombuffer(doc_ids, "<i8"), [data[a:b] for a, b in zip(at, at[1:])]
 
 
-def _by_bucket(values: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """For each bucket, the places of its values."""
+def _by_bucket(values: np.ndarray, buckets: int):
+    """(bucket, places of its values) of each bucket that has any."""
     b = (values % U64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    return np.split(order, np.searchsorted(b[order], np.arange(1, buckets)))
+    order, new = _distinct(b)
+    yield from zip(b[order[new]].tolist(), np.split(order, new[1:]) if len(new) else ())
 
 
-def _anchors(chunks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, once and often binary: the chunk's distinct anchors, in one document and in several."""
+def _anchors(chunks: DataFrame, buckets: int, few: int) -> DataFrame:
+    """bucket, chunk, anchors, often and many binary: the chunk's distinct anchors of a bucket (one at least),
+    whether several documents hold each (a byte), and its distinct segments beyond one where they are over few."""
 
     def run(batches):
         for batch in batches:
             for chunk, doc_ids, sizes, texts in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, texts = _open(doc_ids, sizes, texts)
-                low, high, found = [], [], []
+                found = []
                 for block in _pieces(texts):
                     s = Segments(block)
-                    order = np.argsort(s.anchor)
+                    order, new = _distinct(s.anchor, s.content)
                     a, d = s.anchor[order], ids[s.doc[order]]
                     at = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                    found.append(a[at])
-                    low.append(np.minimum.reduceat(d, at))
-                    high.append(np.maximum.reduceat(d, at))
+                    kinds = np.diff(np.searchsorted(new, np.append(at, len(a))))
+                    found.append((a[at], np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), kinds))
                 if not found:
                     continue
-                a, lo, hi = map(np.concatenate, (found, low, high))
-                order = np.argsort(a)
-                a, lo, hi = a[order], lo[order], hi[order]
-                at = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                often = np.minimum.reduceat(lo, at) < np.maximum.reduceat(hi, at)
-                a = a[at]
-                places = _by_bucket(a, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([chunk] * buckets), pa.array([a[p[~often[p]]].tobytes() for p in places], pa.binary()), pa.array([a[p[often[p]]].tobytes() for p in places], pa.binary())], ["bucket", "chunk", "once", "often"])
-
-    return chunks.select("chunk", "doc_ids", "sizes", "texts").mapInArrow(run, "bucket int, chunk string, once binary, often binary")
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """chunk, anchors binary: of one bucket, each chunk's anchors that two documents hold."""
-    once = [np.frombuffer(x, U64) for x in table["once"].to_pylist()]
-    often = [np.frombuffer(x, U64) for x in table["often"].to_pylist()]
-    values, seen = np.unique(np.concatenate(once + often), return_counts=True)
-    wanted = np.union1d(values[seen > 1], np.concatenate(often))
-    answer = [np.intersect1d(np.concatenate(x), wanted, assume_unique=True) for x in zip(once, often)]
-    return pa.table({"chunk": table["chunk"], "anchors": pa.array([x.tobytes() for x in answer], pa.binary())})
+                a, lo, hi, kinds = map(np.concatenate, zip(*found))
+                order, at = _distinct(a)
+                often = np.minimum.reduceat(lo[order], at) < np.maximum.reduceat(hi[order], at)
+                a, kinds = a[order[at]], np.add.reduceat(kinds[order], at)
+                kinds = np.where(kinds > few, kinds - 1, 0).astype("<u4")
+                rows = [(b, chunk, a[p].tobytes(), often[p].tobytes(), kinds[p].tobytes() if kinds[p].any() else None) for b, p in _by_bucket(a, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), *[pa.binary()] * 3))], ["bucket", "chunk", "anchors", "often", "many"])
+
+    return chunks.select("chunk", "doc_ids", "sizes", "texts").mapInArrow(run, "bucket int, chunk string, anchors binary, often binary, many binary")
+
+
+def _repeated(table: pa.Table, most: int) -> pa.Table:
+    """chunk, anchors, hot binary: of one bucket, each chunk's anchors that two documents hold, the hot ones (over most distinct segments) apart."""
+    own = [np.frombuffer(x, U64) for x in table["anchors"].to_pylist()]
+    anchors = np.concatenate(own)
+    often = np.concatenate([np.frombuffer(x, bool) for x in table["often"].to_pylist()])
+    many = np.concatenate([np.zeros(len(o), np.int64) if x is None else np.frombuffer(x, "<u4").astype(np.int64) for x, o in zip(table["many"].to_pylist(), own)])
+    values, which, seen = np.unique(anchors, return_inverse=True, return_counts=True)
+    wanted = seen > 1
+    wanted[which[often]] = True
+    hot = wanted & (seen + np.bincount(which, many, len(values)) > most)
+    ends = np.cumsum([len(x) for x in own])[:-1]
+    parts = [[x[k] for x, k in zip(own, np.split(keep[which], ends))] for keep in (wanted & ~hot, hot)]
+    return pa.table({"chunk": table["chunk"], **{n: pa.array([x.tobytes() for x in part], pa.binary()) for n, part in zip(("anchors", "hot"), parts)}})
 
 
 def _segments(chunks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, and of the chunk's distinct segments of repeated anchors: anchor (64-bit), and compressed low, high (doc_id) and sizes (64-bit) and their bytes."""
-    asked = chunks.join(anchors.groupBy("chunk").agg(F.collect_list("anchors").alias("anchors")), "chunk")
+    """bucket, chunk, and of the chunk's distinct segments of repeated anchors: anchor (64-bit), and compressed in a row low, high (doc_id) and sizes (64-bit) and their bytes."""
+    asked = chunks.join(anchors.groupBy("chunk").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "chunk")
 
     def run(batches):
         for batch in batches:
-            for chunk, doc_ids, sizes, texts, anchors in zip(*(c.to_pylist() for c in batch.columns)):
-                wanted = np.sort(np.concatenate([np.frombuffer(x, U64) for x in anchors]))
+            for chunk, doc_ids, sizes, texts, anchors, hot in zip(*(c.to_pylist() for c in batch.columns)):
+                wanted, hot = (np.frombuffer(b"".join(x), U64) for x in (anchors, hot))
+                wanted = np.sort(np.concatenate((wanted, hot)))
                 if not len(wanted):
                     continue
                 ids, texts = _open(doc_ids, sizes, texts)
                 parts = []
                 for block in _pieces(texts):
-                    s = Segments(block)
-                    keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, s.anchor), len(wanted) - 1)] == s.anchor)
-                    order = keep[np.argsort(s.content[keep])]
-                    c = s.content[order]
-                    if not len(c):
+                    s = Segments(block, hot)
+                    keep = wanted[np.minimum(np.searchsorted(wanted, s.anchor), len(wanted) - 1)] == s.anchor
+                    if len(hot):
+                        keep |= s.anchor == s.content
+                    keep = np.flatnonzero(keep)
+                    if not len(keep):
                         continue
-                    at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                    order, at = _distinct(s.content[keep], s.check[keep])
+                    order = keep[order]
                     d, one = ids[s.doc[order]], order[at]
                     data = [s.raw[a : a + n] for a, n in zip(s.first[one].tolist(), (s.count[one] + LENGTH - 1).tolist())]
-                    parts.append((s.anchor[one], c[at], np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), data))
+                    parts.append((s.anchor[one], s.content[one], s.check[one], np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), data))
                 if not parts:
                     continue
-                anchor, content, low, high = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                data = [x for p in parts for x in p[4]]
-                order = np.argsort(content)
-                c = content[order]
-                at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                anchor, content, check, low, high = (np.concatenate([p[i] for p in parts]) for i in range(5))
+                data = [x for p in parts for x in p[5]]
+                order, at = _distinct(content, check)
                 low, high, one = np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), order[at]
                 anchor = anchor[one]
-                for b, p in enumerate(_by_bucket(anchor, buckets)):
-                    if len(p):
-                        own = [data[i] for i in one[p]]
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([anchor[p].tobytes()], pa.binary()), *(pa.array([_squeeze(x)], pa.binary()) for x in (low[p].tobytes(), high[p].tobytes(), np.array([len(x) for x in own], "<i8").tobytes(), b"".join(own)))], ["bucket", "chunk", "anchor", "low", "high", "sizes", "data"])
+                rows = []
+                for b, p in _by_bucket(anchor, buckets):
+                    own = [data[i] for i in one[p]]
+                    rows.append((b, chunk, anchor[p].tobytes(), _squeeze(b"".join((low[p].tobytes(), high[p].tobytes(), np.array([len(x) for x in own], "<i8").tobytes(), *own)))))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "chunk", "anchor", "data"])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "chunk", "anchor", "data"])
 
-    return asked.select("chunk", "doc_ids", "sizes", "texts", "anchors").mapInArrow(run, "bucket int, chunk string, anchor binary, low binary, high binary, sizes binary, data binary")
+    return asked.select("chunk", "doc_ids", "sizes", "texts", "anchors", "hot").mapInArrow(run, "bucket int, chunk string, anchor binary, data binary")
 
 
-def _classes(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """least_by_window() of the distinct segments of several anchors, those of an anchor together.
+def _classes(texts: list[bytes], docs: list[int], anchors: np.ndarray, ordered: int) -> list[np.ndarray]:
+    """least_by_window() of the distinct segments of several anchors; those of an anchor come one after the other.
 
-    Windows whose hash no other segment shares have no twin; what is left of the segments is far less and
-    mostly alike, and is put in suffix order once for each distinct string.
+    Equal windows have one anchor, so an anchor's strings are put in suffix order by themselves. A window whose
+    hash is met once has no twin; what is left of the segments is far less and mostly alike, and is ordered
+    once for each distinct string of an anchor.
     """
     sizes = np.array([len(t) for t in texts])
     start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     whole = np.frombuffer(b"".join(texts), np.uint8)
     counts = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    h = string_hashes(whole, start[owner] + place, LENGTH)
-    places = start[owner] + place
-    _, example, which, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    shared = seen[which] > 1
+    places = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    h = string_hashes(whole, places, LENGTH)
+    by = np.argsort(h)
+    alike = h[by[1:]] == h[by[:-1]]
+    shared = np.zeros(len(h), bool)
+    shared[by[1:][alike]] = shared[by[:-1][alike]] = True
     least = np.array(docs, np.int64)[owner]
-    # Runs of shared windows within a segment.
+    # Runs of windows that may have twins, within a segment.
     edge = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | (owner[1:] != owner[:-1]))))
     stop = np.flatnonzero(shared & np.concatenate((~shared[1:] | (owner[1:] != owner[:-1]), [True]))) + 1
-    runs: dict[bytes, list[tuple[int, int]]] = {}
-    for x, y in zip(edge.tolist(), stop.tolist()):
-        runs.setdefault(whole[places[x] : places[x] + y - x + LENGTH - 1].tobytes(), []).append((x, y))
-    strings = list(runs)
-    low = [min(docs[owner[x]] for x, _ in runs[t]) for t in strings]
-    # Each pack is ordered for itself, so that memory is bounded; classes of several packs meet by their hash,
-    # and below every window is held against its class's example, byte by byte.
-    best = np.full(len(seen), np.iinfo(np.int64).max)
-    first = 0
-    while first < len(strings):
-        last, size = first, 0
-        while last < len(strings) and (last == first or size + len(strings[last]) <= ORDERED):
-            size += len(strings[last])
-            last += 1
-        for t, values in zip(strings[first:last], least_by_window(strings[first:last], low[first:last])):
-            x, y = runs[t][0]
-            np.minimum.at(best, which[x:y], values)
-        first = last
-    found = np.flatnonzero(shared)
-    least[found] = best[which[found]]
-    if len(found):
-        rows = np.lib.stride_tricks.sliding_window_view(whole, LENGTH)
-        for x in range(0, len(found), 50_000):
-            some = found[x : x + 50_000]
-            if (rows[places[some]] != rows[places[example[which[some]]]]).any():
-                raise ValueError("two strings with one 64-bit hash")
+    runs: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    kinds = anchors[owner[edge]]
+    for kind, x, y in zip(kinds.tolist(), edge.tolist(), stop.tolist()):
+        runs.setdefault((kind, whole[places[x] : places[x] + y - x + LENGTH - 1].tobytes()), []).append((x, y))
+    pack: list[tuple[int, bytes]] = []
+    size = 0
+
+    def order():
+        strings = [t for _, t in pack]
+        low = [min(docs[owner[x]] for x, _ in runs[k]) for k in pack]
+        for k, values in zip(pack, least_by_window(strings, low)):
+            for x, y in runs[k]:
+                least[x:y] = values
+
+    for k in runs:
+        if pack and size > ordered and k[0] != pack[-1][0]:
+            order()
+            pack, size = [], 0
+        pack.append(k)
+        size += len(k[1])
+    if pack:
+        order()
     return np.split(least, np.cumsum(counts)[:-1])
 
 
-def _least(table: pa.Table) -> pa.Table:
-    """chunk, content, value, counts and windows binary: of one bucket, each chunk's segments that a smaller document shares.
+def _least(table: pa.Table, ordered: int) -> pa.Table:
+    """chunk, content, check, value, counts and windows binary: of one bucket, each chunk's segments that a smaller document shares.
 
     value is the least doc_id of a segment's windows. Where they differ, counts has their number, else 0,
     and windows the least doc_id of each.
     """
     chunk = table["chunk"].to_pylist()
-    columns = {c: [np.frombuffer(_restore(x), "<i8") for x in table[c].to_pylist()] for c in ("low", "high", "sizes")}
-    columns["anchor"] = [np.frombuffer(x, U64) for x in table["anchor"].to_pylist()]
-    number = np.repeat(np.arange(len(chunk)), [len(x) for x in columns["anchor"]])
-    anchor, low, high, sizes = (np.concatenate(columns[c]) for c in ("anchor", "low", "high", "sizes"))
-    data = b"".join(_restore(x) for x in table["data"].to_pylist())
+    own = [np.frombuffer(x, U64) for x in table["anchor"].to_pylist()]
+    number, anchor = np.repeat(np.arange(len(chunk)), [len(x) for x in own]), np.concatenate(own)
+    heads, strings = [], []
+    for x, packed in zip(own, table["data"].to_pylist()):
+        packed = _restore(packed)
+        heads.append(np.frombuffer(packed, "<i8", 3 * len(x)).reshape(3, -1))
+        strings.append(packed[24 * len(x) :])
+    low, high, sizes = np.concatenate(heads, axis=1)
+    data = b"".join(strings)
+    del own, heads, strings
     place = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    content = string_hashes(np.frombuffer(data, np.uint8), place, sizes)
-    order = np.lexsort((content, anchor))
+    content, check = (string_hashes(np.frombuffer(data, np.uint8), place, sizes, x) for x in (False, True))
+    order, new = _distinct(anchor, content, check)
     a, c = anchor[order], content[order]
-    new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (a[1:] != a[:-1]))))
     least = np.minimum.reduceat(low[order], new)
     kind = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
     windows: dict[int, np.ndarray] = {}
@@ -423,20 +476,22 @@ def _least(table: pa.Table) -> pa.Table:
     if len(several):
         ones = order[new[several]]
         strings = [data[p : p + n] for p, n in zip(place[ones].tolist(), sizes[ones].tolist())]
-        for k, found in zip(several.tolist(), _classes(strings, least[several].tolist())):
+        for k, found in zip(several.tolist(), _classes(strings, least[several].tolist(), heads[several], ordered)):
             least[k] = found.min()
             if not (found == found[0]).all():
                 windows[k] = found
     tell = least[kind] < high[order]
-    out = {"chunk": [], "content": [], "value": [], "counts": [], "windows": []}
+    out = {"chunk": [], "content": [], "check": [], "value": [], "counts": [], "windows": []}
     by = np.argsort(number[order], kind="stable")
     by = by[tell[by]]
+    check = check[order]
     for own in np.split(by, np.flatnonzero(np.diff(number[order][by])) + 1):
         if len(own):
             k = kind[own]
             own_windows = [windows.get(x) for x in k.tolist()]
             out["chunk"].append(chunk[number[order][own[0]]])
             out["content"].append(c[own].tobytes())
+            out["check"].append(check[own].tobytes())
             out["value"].append(least[k].astype("<i8").tobytes())
             out["counts"].append(np.array([0 if w is None else len(w) for w in own_windows], "<i8").tobytes())
             out["windows"].append(b"".join(w.astype("<i8").tobytes() for w in own_windows if w is not None))
@@ -446,24 +501,35 @@ def _least(table: pa.Table) -> pa.Table:
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+_ANSWERS = ("content", "check", "value", "counts", "windows", "hot")
+
+
 def _cut(chunks: DataFrame, least: DataFrame, with_kept: bool) -> DataFrame:
-    told = least.groupBy("chunk").agg(*(F.collect_list(c).alias(c) for c in ("content", "value", "counts", "windows")))
-    asked = chunks.join(told, "chunk", "left").select("doc_ids", "sizes", "texts", "content", "value", "counts", "windows")
+    told = least.groupBy("chunk").agg(*(F.collect_list(c).alias(c) for c in _ANSWERS))
+    asked = chunks.join(told, "chunk", "left").select("doc_ids", "sizes", "texts", *_ANSWERS)
 
     def run(batches):
         for batch in batches:
-            for doc_ids, sizes, texts, content, value, counts, windows in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_ids, sizes, texts, *answers in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, texts = _open(doc_ids, sizes, texts)
                 start = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
                 edges = np.zeros(start[-1] + 1, np.int32)
-                if content:
-                    content = np.concatenate([np.frombuffer(x, U64) for x in content])
-                    value, counts, windows = (np.concatenate([np.frombuffer(x, "<i8") for x in v]) for v in (value, counts, windows))
-                    order, first_of = np.argsort(content), np.cumsum(counts) - counts
+                content, check, value, counts, windows, hot = (np.frombuffer(b"".join(x or ()), t) for x, t in zip(answers, (U64, U64, "<i8", "<i8", "<i8", U64)))
+                if len(content):
+                    order, first_of = np.lexsort((check, content)), np.cumsum(counts) - counts
+                    known, proof = content[order], check[order]
                     for block in _pieces(texts):
-                        s = Segments(block)
-                        at = order[np.minimum(np.searchsorted(content, s.content, sorter=order), len(content) - 1)]
-                        hit = np.flatnonzero((content[at] == s.content) & (value[at] < ids[s.doc]))
+                        s = Segments(block, hot)
+                        at = np.minimum(np.searchsorted(known, s.content), len(known) - 1)
+                        # Strings that share the first 64 bits stand in a row.
+                        while True:
+                            on = (known[at] == s.content) & (proof[at] < s.check) & (at + 1 < len(known))
+                            if not on.any():
+                                break
+                            at[on] += 1
+                        hit = (known[at] == s.content) & (proof[at] == s.check)
+                        at = order[at]
+                        hit = np.flatnonzero(hit & (value[at] < ids[s.doc]))
                         at, place = at[hit], start[s.doc[hit]] + s.window[hit]
                         alike = counts[at] == 0
                         np.add.at(edges, place[alike], 1)
@@ -486,25 +552,36 @@ def _cut(chunks: DataFrame, least: DataFrame, with_kept: bool) -> DataFrame:
     return asked.mapInArrow(run, _OUT + ", kept binary" * with_kept)
 
 
-def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_kept: bool = False, most: int = HOT, few: int = FEW, ordered: int = ORDERED) -> DataFrame:
     """Each document without the bytes that a smaller document has: doc_id, n_bytes, n_removed, n_spans long,
     kept_sha256 string, and with_kept the remaining bytes.
 
     Texts are UTF-8 bytes (null: empty); windows are judged on the input and never cross documents. Rows with
     a null doc_id are left out; rows that share a doc_id don't cut each other. Texts under LENGTH bytes lose
-    nothing. Other columns are ignored; an empty table gives no rows.
+    nothing. Other columns are ignored; an empty table gives no rows. most, few and ordered decide how the work
+    is dealt, not the result.
     """
     small_batches(docs.sparkSession)
-    chunks = spool(_chunks(docs), "uncompressed")
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    spark = docs.sparkSession
+    # Bucketed by chunk in the shared folder: joins by chunk shuffle the answers only.
+    name = f"orbiton_chunks_{uuid.uuid4().hex}"
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * CHUNK_BYTES)))
+    path = f"{shared_dir(spark)}/orbiton/{name}"
+    _chunks(docs).write.format("parquet").bucketBy(parts, "chunk").option("compression", "uncompressed").option("path", path).saveAsTable(name)
+    chunks = spark.table(name)
     buckets = max(12, -(-total // BUCKET_BYTES))
-    sent = _anchors(chunks, buckets)
-    anchors = spool(sent.groupBy("bucket").applyInArrow(_repeated, "chunk string, anchors binary"), "uncompressed")
+    sent = _anchors(chunks, buckets, few)
+    anchors = spool(sent.groupBy("bucket").applyInArrow(lambda t: _repeated(t, most), "chunk string, anchors binary, hot binary"), "uncompressed")
     del sent
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
     segments = _segments(chunks, anchors, buckets)
-    least = spool(segments.groupBy("bucket").applyInArrow(_least, "chunk string, content binary, value binary, counts binary, windows binary"))
+    least = spool(segments.groupBy("bucket").applyInArrow(lambda t: _least(t, ordered), "chunk string, " + ", ".join(f"{c} binary" for c in _ANSWERS[:-1])))
     del segments
-    drop_spool(anchors)
-    free_shuffles(docs.sparkSession)
-    return _cut(chunks, least, with_kept)
+    free_shuffles(spark)
+    hot = anchors.where("length(hot) > 0").select("chunk", *(F.lit(None).cast("binary").alias(c) for c in _ANSWERS[:-1]), "hot")
+    out = spool(_cut(chunks, least.withColumn("hot", F.lit(None).cast("binary")).unionByName(hot), with_kept))
+    spark.sql(f"DROP TABLE {name}")
+    drop_spool(anchors, least)
+    delete(spark, path)
+    return out

@@ -471,18 +471,27 @@ def brute_cut(texts):
     return out
 
 
-@pytest.mark.parametrize("chunk,ordered", [(1 << 23, 1 << 16), (3_000, 100)])
-def test_cuts_equal_brute_force(make_docs, odd_texts, monkeypatch, chunk, ordered):
+@pytest.mark.parametrize("chunk,ordered,hot", [(1 << 23, 1 << 16, 1_000), (3_000, 100, 1_000), (3_000, 1 << 16, 2)])
+def test_cuts_equal_brute_force(make_docs, odd_texts, monkeypatch, chunk, ordered, hot):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(suffix_dedup, "ORDERED", ordered)
     passage = prose(60, 77)
     texts = [*odd_texts, *near_copies(15), *(prose(10 + i, 200 + i) + passage + prose(20, 300 + i) for i in range(12)), "z" * 200, "zz" * 60, passage[30:]]
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(make_docs(texts).repartition(3), with_kept=True).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(make_docs(texts).repartition(3), with_kept=True, most=hot, few=min(hot - 1, 4), ordered=ordered).collect()}
     for i, want in enumerate(brute_cut(texts)):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want and r.kept_sha256 == hashlib.sha256(want[3]).hexdigest()
 
 
+def test_classes_come_from_the_suffix_order(monkeypatch):
+    common = "the quick brown fox jumps over the lazy dog, twice a day and more"
+    texts = [x.encode() for x in ("aaaaaaaa" + common, common + "b", "c" + common[:60], common[3:] + "zzzz")]
+    docs, group = [7, 5, 3, 9], np.zeros(4, np.uint64)
+    want = [[min(d for t, d in zip(texts, docs) if x[p : p + 50] in t) for p in range(len(x) - 49)] for x in texts]
+    assert [x.tolist() for x in suffix_dedup._classes(texts, docs, group, 1)] == want
+    monkeypatch.setattr(suffix_dedup, "least_by_window", lambda strings, low: [np.full(len(t) - 49, d) for t, d in zip(strings, low)])
+    assert [x.tolist() for x in suffix_dedup._classes(texts, docs, group, 1)] != want
+
+
 def test_cuts_of_nothing_and_of_repeats(make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
     assert [r.n_removed for r in suffix_dedup.remove_repeats(make_docs([prose(40, 1)], repeat=(0,))).collect()] == [0, 0]
