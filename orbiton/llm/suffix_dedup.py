@@ -162,13 +162,22 @@ _CHECK_LETTERS = mix64(_LETTERS)
 
 
 def string_hashes(text: np.ndarray, first: np.ndarray, sizes: np.ndarray | int, check: bool = False) -> np.ndarray:
-    """64 bits of each string of text from the places first; with check, other 64 bits."""
-    n = len(text)
+    """64 bits of each string of text from the ascending places first; with check, other 64 bits. Works on PIECE bytes at a time."""
     name, base, letters = ("check", _CHECK_BASE, _CHECK_LETTERS) if check else ("", _BASE, _LETTERS)
-    up, down = _power_table(name or "up", base, n + 1), _power_table(name + "down", pow(base, -1, 1 << 64), n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(letters[text] * up[:n], out=total[1:])
-    return mix64((total[first + sizes] - total[first]) * down[first])
+    stop = first + sizes
+    out = np.empty(len(first), U64)
+    i = 0
+    while i < len(first):
+        low = first[i]
+        j = int(np.searchsorted(first, low + PIECE))
+        high = int(stop[i:j].max())
+        n = high - int(low)
+        up, down = _power_table(name or "up", base, n + 1), _power_table(name + "down", pow(base, -1, 1 << 64), n + 1)
+        total = np.zeros(n + 1, U64)
+        np.cumsum(letters[text[low:high]] * up[:n], out=total[1:])
+        out[i:j] = mix64((total[stop[i:j] - low] - total[first[i:j] - low]) * down[first[i:j] - low])
+        i = j
+    return out
 
 
 def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -464,6 +473,7 @@ def _least(table: pa.Table, ordered: int) -> pa.Table:
     del own, heads, strings
     place = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     content, check = (string_hashes(np.frombuffer(data, np.uint8), place, sizes, x) for x in (False, True))
+    del table
     order, new = _distinct(anchor, content, check)
     a, c = anchor[order], content[order]
     least = np.minimum.reduceat(low[order], new)
