@@ -12,25 +12,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import drop_spool, spool
+from .common import drop_spool, fresh, spool
 
 #: Most draws of one form. A form that still collides after so many raises an error.
 MOST_ATTEMPTS = 64
 #: Overrides up to so many are broadcast to the documents; more are joined by shuffle.
 BROADCAST_ROWS = 5_000
 
-# Given names by gender for the surrogates of names, by script.
-FEMALE = ["Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "Lina", "Maria", "Nina", "Paula", "Sara", "Sofia"]
-MALE = ["Adam", "Bruno", "David", "Felix", "Hugo", "Jonas", "Leon", "Lukas", "Martin", "Oscar", "Paul", "Simon"]
-FEMALE_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"]
-MALE_CYRILLIC = ["Антон", "Борис", "Виктор", "Иван", "Илья", "Олег", "Павел", "Роман"]
-FAMILY = ["Alder", "Benson", "Carver", "Dalton", "Ellis", "Foster", "Garner", "Holden", "Irving", "Jarvis", "Keller", "Lorenz", "Marsh", "Norden", "Osborn", "Palmer"]
-FAMILY_CYRILLIC = ["Белов", "Волков", "Зайцев", "Лебедев", "Морозов", "Новиков", "Орлов", "Соколов"]
-# Forms of address before a name.
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Госпожа"]
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
-
-_NAME_WORD = r"\p{Lu}[\p{Ll}'’-]+"
+# Names for the surrogates of names, by script: given names by gender, family names, and what
+# stands between given and family name. Han names start with the family name.
+NAMES = {
+    "Latin": (
+        ["Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "Lina", "Maria", "Nina", "Paula", "Sara", "Sofia"],
+        ["Adam", "Bruno", "David", "Felix", "Hugo", "Jonas", "Leon", "Lukas", "Martin", "Oscar", "Paul", "Simon"],
+        ["Alder", "Benson", "Carver", "Dalton", "Ellis", "Foster", "Garner", "Holden", "Irving", "Jarvis", "Keller", "Lorenz", "Marsh", "Norden", "Osborn", "Palmer"],
+    ),
+    "Cyrillic": (["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"], ["Антон", "Борис", "Виктор", "Иван", "Илья", "Олег", "Павел", "Роман"], ["Белов", "Волков", "Зайцев", "Лебедев", "Морозов", "Новиков", "Орлов", "Соколов"]),
+    "Greek": (["Άννα", "Ελένη", "Ζωή", "Ιωάννα", "Μαρία", "Σοφία"], ["Αλέξης", "Γιώργος", "Ηλίας", "Νίκος", "Πέτρος", "Σταύρος"], ["Αγγελίδης", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Νικολάου", "Παππάς", "Χρήστου"]),
+    "Han": (["丽", "娜", "敏", "芳", "静", "婷"], ["伟", "强", "军", "磊", "勇", "杰"], ["李", "王", "张", "刘", "陈", "杨", "赵", "黄"]),
+}
+# Forms of address before a name, by gender; the last say nothing of it.
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Госпожа", "Κυρία"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]
+TITLES = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur", "Profesor", "Profesora", "Доктор", "Профессор"]
+# Given names that tell a name without a form of address, where another capitalised word follows.
+KNOWN_FEMALE = "Alice Amelia Ana Andrea Anja Anna Barbara Camille Carmen Caroline Catherine Charlotte Chloé Christina Claire Clara Claudia Daniela Diana Elena Elisabeth Elizabeth Emily Emma Eva Fatima Hannah Helena Ingrid Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Lena Linda Lisa Lucía Luisa Margaret Maria María Marie Martina Mary Monika Nadia Nicole Nina Olga Olivia Patricia Paula Petra Rachel Rosa Sabine Sandra Sara Sarah Silvia Sofia Sophie Stefanie Susan Teresa Ursula Valentina Victoria".split()
+KNOWN_MALE = "Adam Ahmed Alan Alexander Ali Andreas Andrew Anthony Antonio Benjamin Carlos Charles Christian Christopher Daniel David Diego Edward Eric Fernando François Frank Fritz Georg George Giovanni Hans Henry Hugo Ivan Jack Jacques James Jan Javier Jean Johann John Jonas Jorge José Joseph Juan Jürgen Karl Kevin Klaus Lukas Manuel Marco Martin Matthew Michael Miguel Mohammed Nicolas Oliver Oscar Pablo Paul Pedro Peter Philipp Pierre Rafael Richard Robert Roberto Sebastian Sergio Stefan Stephen Steven Thomas Walter Werner William Wolfgang".split()
+
+_NAME_WORD = r"(?:\p{Lu}[\p{Ll}'’-]+|\p{IsHan}{2,4})"
 # Between two digits of a number: an optional separator, brackets about it.
 _GAP = r"\)?(?: ?[/-] ?|[ .])?\(?"
 #: Layouts of telephone numbers, of 8 to 15 digits, the longer before the shorter where both may start.
@@ -55,15 +64,17 @@ PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?i:password|passwd|pwd|token|secret|api_?key)(?:=| = | ?: ?)\"?[A-Za-z0-9+/_-]{8,}\"?)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])|(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?=[+(0-9])(?:" + "|".join(_PHONES) + r")(?![0-9])",
-    "name": r"(?<![\p{L}])(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES]) + r")\.? " + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2}",
+    "name": r"(?<![\p{L}])(?=\p{Lu})(?:(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r")\.? " + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2}|(?:" + "|".join([*KNOWN_FEMALE, *KNOWN_MALE]) + r")(?: " + _NAME_WORD + r"){1,2})(?![\p{L}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these; most texts have none and are spared PATTERN.
-HINT = r"[@0-9=:]|(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES]) + r")\.? "
+HINT = r"[@0-9=:]|(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r")\.? |(?:" + "|".join([*KNOWN_FEMALE, *KNOWN_MALE]) + r") "
+#: A form of address before a name.
+_TITLE = r"\A((?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r")\.? )"
 
 #: The country code at the start of a number behind +, by the ITU's list. No code starts another.
 _COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
@@ -96,7 +107,7 @@ def canonical(e: Column, kind: Column) -> Column:
     label = F.lower(F.regexp_extract(e, _LAST_LABEL, 1))
     email = F.concat(F.regexp_replace(F.substring(F.lower(e), F.lit(1), F.length(e) - F.length(label)), r"[^a-z0-9]", ""), label)
     phone = F.when(e.startswith("+"), F.regexp_replace(F.regexp_replace(e, r"\(0\)|[^0-9]", ""), rf"\A({_COUNTRY})", r"+$1 ")).otherwise(plain)
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", F.regexp_replace(body, r"[^a-z0-9]", "")).when(kind == "name", F.regexp_replace(F.lower(e), r"\A\S+ ", "")).when(kind == "ip", e).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", F.regexp_replace(body, r"[^a-z0-9]", "")).when(kind == "name", F.lower(F.regexp_replace(e, _TITLE, ""))).when(kind == "ip", F.lower(e)).otherwise(plain)
 
 
 def _digest(key: str, kind: Column, form: Column, attempt: Column) -> Column:
@@ -141,21 +152,30 @@ def surrogate_form(kind: Column, form: Column, d: Column, attempt: Column, femal
     label = F.regexp_extract(form, _LAST_LABEL, 1)
     more = F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), attempt)), lambda i: F.substring(F.lit(_LOWER), _draw(d, 99 - i, 26) + 1, F.lit(1))), "")
     email = F.concat(F.substring(mapped, F.lit(1), F.length(form) - F.length(label)), F.when(attempt < 4, "").otherwise(more), label)
-    ip = F.array_join(F.transform(F.split(form, r"\."), lambda _, i: (_draw(d, i, 253) + 1).cast("string")), ".")
-    cyrillic = form.rlike(r"\p{IsCyrillic}")
+    hexes = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(F.lit("0123456789abcdef"), _draw(d, i, 16) + 1, F.lit(1)))), "")
+    ip = F.when(form.contains(":"), hexes).otherwise(F.array_join(F.transform(F.split(form, r"\."), lambda _, i: (_draw(d, i, 253) + 1).cast("string")), "."))
     pick = lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), _draw(d, i, len(names)) + 1)
-    given = F.when(cyrillic & female, pick(FEMALE_CYRILLIC, F.lit(0))).when(cyrillic, pick(MALE_CYRILLIC, F.lit(0))).when(female, pick(FEMALE, F.lit(0))).otherwise(pick(MALE, F.lit(0)))
-    family = F.when(cyrillic, pick(FAMILY_CYRILLIC, F.lit(1))).otherwise(pick(FAMILY, F.lit(1)))
-    # Each later draw makes the family name one part longer, as the lists are finite and forms are not.
-    longer = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), attempt + 1)), lambda i: F.concat(F.lit("-"), F.when(cyrillic, pick(FAMILY_CYRILLIC, i)).otherwise(pick(FAMILY, i))))
-    tail = F.when(attempt == 0, "").otherwise(F.array_join(longer, ""))
     words = F.size(F.split(form, " "))
-    name = F.when(words > 1, F.concat(given, F.lit(" "), family, tail)).otherwise(F.concat(family, tail))
+    name = None
+    # Latin first: it stands for scripts that have no names here.
+    for script, (women, men, families) in NAMES.items():
+        given = F.when(female, pick(women, F.lit(0))).otherwise(pick(men, F.lit(0)))
+        # Each later draw makes the family name one part longer, as the lists are finite and forms are not.
+        between = "" if script == "Han" else "-"
+        longer = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), attempt + 1)), lambda i: F.concat(F.lit(between), pick(families, i)))
+        family = F.concat(pick(families, F.lit(1)), F.when(attempt == 0, "").otherwise(F.array_join(longer, "")))
+        if script == "Han":
+            found = F.when(words > 1, F.concat(family, F.lit(" "), given)).when(F.length(form) > 1, F.concat(family, given)).otherwise(family)
+        else:
+            found = F.when(words > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
+        name = found if name is None else F.when(form.rlike(rf"\p{{Is{script}}}"), found).otherwise(name)
     return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", number).when(kind == "name", name).otherwise(mapped)
 
 
 def _is_female(e: Column) -> Column:
-    return e.rlike(r"\A(?:" + "|".join(FEMALE_TITLES) + r")\b")
+    """The gender that a mention tells: by its form of address, or else by a known given name."""
+    bare = F.regexp_replace(e, _TITLE, "")
+    return e.rlike(r"\A(?:" + "|".join(FEMALE_TITLES) + r")\b") | (~e.rlike(r"\A(?:" + "|".join(MALE_TITLES) + r")\b") & bare.rlike(r"\A(?:" + "|".join(KNOWN_FEMALE) + r")(?:\s|\z)"))
 
 
 def dressed(e: Column, kind: Column, form: Column, surrogate: Column) -> Column:
@@ -185,13 +205,13 @@ def dressed(e: Column, kind: Column, form: Column, surrogate: Column) -> Column:
     # What a later draw added to an address goes before the last label.
     more = F.substring(surrogate, F.length(form) - F.length(label) + 1, F.length(surrogate) - F.length(form))
     email = F.concat(F.substring(filled, F.lit(1), stop), more, label)
-    return F.when(kind == "email", email).when(kind == "ip", surrogate).when(kind == "name", F.concat(F.regexp_extract(e, r"\A(\S+ )", 1), surrogate)).otherwise(filled)
+    return F.when(kind == "email", email).when(kind == "ip", surrogate).when(kind == "name", F.concat(F.regexp_extract(e, _TITLE, 1), surrogate)).otherwise(filled)
 
 
 def _described(entities: Column) -> Column:
     """Array of (e, kind, form, female); each step's values are computed once. female: a given name to draw is."""
     kinds = F.transform(entities, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("form"), (_is_female(x["e"]) & (x["kind"] == "name") & (F.size(F.split(x["e"], " ")) > 2)).alias("female")))
+    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("form"), (_is_female(x["e"]) & (x["kind"] == "name") & (F.regexp_replace(x["e"], _TITLE, "").rlike(r" |\p{IsHan}{2}"))).alias("female")))
 
 
 def _entry(kind: Column, form: Column, female: Column) -> Column:
@@ -231,35 +251,44 @@ def overrides(docs: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"surrogates still collide after {MOST_ATTEMPTS} draws")
 
 
-def replace_pii(docs: DataFrame, key: str = "orbiton") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """docs with each entity of `text` replaced by its surrogate; the other columns stay. Adds nothing.
 
-    A null text stays null; texts without entities stay as they are; repeated rows are treated alike; an
-    empty table stays empty. n_chars, if there is such a column, is not counted anew.
+    key: a secret; who has it can tell by trying which form a surrogate stands for. A null text stays null;
+    texts without entities stay as they are; repeated rows are treated alike; an empty table stays empty;
+    columns of any name are kept. n_chars, if there is such a column, is not counted anew.
     """
     names = docs.columns
-    again = overrides(docs, key)
+    found, over, hashed, whole = (fresh(names, c) for c in ("_e", "_again", "_t", "_text"))
+    again = overrides(docs.select("text"), key)
     n = again.limit(BROADCAST_ROWS + 1).count()
-    work = docs.withColumn("_e", mentions(F.col("text")))
+    work = docs.withColumn(found, mentions(F.col("text")))
     if n:
-        again = again.select(_entry(F.col("kind"), F.col("form"), F.col("female")).alias("_k"), "surrogate")
+        again = again.select(_entry(F.col("kind"), F.col("form"), F.col("female")).alias("k"), "surrogate")
         if n <= BROADCAST_ROWS:
             # At most BROADCAST_ROWS rows of two short strings.
-            table = again.agg(F.map_from_entries(F.collect_list(F.struct("_k", "surrogate"))).alias("_again"))
+            table = again.agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(over))
             work = work.crossJoin(F.broadcast(table))
         else:
-            row = F.xxhash64("text").alias("_t"), F.col("text").alias("_text")
-            own = docs.where(F.size(mentions(F.col("text"))) > 0).select("text").distinct().select(*row, F.explode(_described(F.array_distinct(mentions(F.col("text"))))).alias("x"))
-            own = own.select("_t", "_text", "x.*").withColumn("_k", _entry(F.col("kind"), F.col("form"), F.col("female")))
-            maps = own.join(again, "_k").select("_t", "_text", "_k", "surrogate").distinct().groupBy("_t", "_text").agg(F.map_from_entries(F.collect_list(F.struct("_k", "surrogate"))).alias("_again"))
-            work = work.withColumn("_t", F.xxhash64("text")).join(maps, "_t", "left").withColumn("_again", F.when(F.col("_text") == F.col("text"), F.col("_again"))).drop("_text")
+            own = docs.select("text").where(F.size(mentions(F.col("text"))) > 0).distinct()
+            own = own.select("text", F.explode(_described(F.array_distinct(mentions(F.col("text"))))).alias("x")).select("text", "x.*")
+            own = own.withColumn("k", _entry(F.col("kind"), F.col("form"), F.col("female")))
+            maps = own.join(again, "k").select("text", "k", "surrogate").distinct().groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(over))
+            # By the text itself: its hash only spreads the rows.
+            maps = maps.select(F.xxhash64("text").alias(hashed), F.col("text").alias(whole), over)
+            work = work.join(maps, (F.xxhash64(work["text"]) == maps[hashed]) & (work["text"] == maps[whole]), "left").drop(hashed, whole)
     else:
-        work = work.withColumn("_again", F.lit(None).cast("map<string,string>"))
+        work = work.withColumn(over, F.lit(None).cast("map<string,string>"))
 
     zero = F.lit(0)
-    known = F.transform(_described(F.col("_e")), lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "form", "female")), F.element_at(F.col("_again"), _entry(x["kind"], x["form"], x["female"])).alias("over"), _digest(key, x["kind"], x["form"], zero).alias("d")))
+    known = F.transform(_described(F.col(found)), lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "form", "female")), F.element_at(F.col(over), _entry(x["kind"], x["form"], x["female"])).alias("over"), _digest(key, x["kind"], x["form"], zero).alias("d")))
     drawn = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["form"].alias("form"), F.coalesce(x["over"], surrogate_form(x["kind"], x["form"], x["d"], zero, x["female"])).alias("s")))
     placed = F.transform(drawn, lambda x: dressed(x["e"], x["kind"], x["form"], x["s"]))
     between = F.split("text", PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(between, placed, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
-    return work.withColumn("text", F.when(F.size("_e") > 0, joined).otherwise(F.col("text"))).select(*names)
+    return work.withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text"))).select(*names)
+
+
+def session_key(spark) -> str:
+    """The key that the session names in spark.orbiton.pii.key; without one, a word for trials, which hides nothing."""
+    return spark.conf.get("spark.orbiton.pii.key", "trial")

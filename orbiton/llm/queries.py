@@ -47,9 +47,9 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import replace_pii
+    from .pii import replace_pii, session_key
 
-    return replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
