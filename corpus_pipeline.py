@@ -9,7 +9,7 @@ from orbiton.llm.byte_bpe import encode_documents
 from orbiton.llm.common import spool
 from orbiton.llm.mixing import mix
 from orbiton.llm.neardup import keep_one
-from orbiton.llm.pii import replace_pii
+from orbiton.llm.pii import replace_pii, session_key
 from orbiton.llm.quality import keep_good
 
 
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars is as it was read."""
-    return replace_pii(docs)
+    return replace_pii(docs, session_key(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
