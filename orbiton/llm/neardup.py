@@ -10,7 +10,7 @@ start. In two star rounds one node of each bucket is compared with all others of
 joined into components: first the least node, then the one with the least share of own shingles (those
 no other node of an undecided bucket has), the middle of a group of near copies. Then pairs
 of a bucket whose nodes are still in different components are compared, save those that counts rule out:
-an intersection is at most what is left of either set without its own shingles, and at most the sum, over
+a node with too many own shingles has no links and is left out before any join; an intersection is at most what is left of either set without its own shingles, and at most the sum, over
 hash groups of shingles, of the lesser number that either set has in the group. A bucket is thus compared in full
 but for pairs that are joined or can't be links. Links are confirmed on full sets.
 """
@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, Words, blocks, drop_spool, encoded, free_shuffles, mix64, small_batches, spool
+from .common import U64, Words, blocks, drop_spool, encoded, free_shuffles, fresh, mix64, small_batches, spool
 
 T = 128
 #: Rows of a band. At similarity 0.8 a pair shares no band of 4 of 128 coordinates with probability under 1e-7.
 BAND_ROWS = 4
 
+#: Nodes of a bucket that one key of the last round's join holds on a side; a larger bucket is dealt to several.
+PART = 256
+
 #: Hash groups whose shingles are counted for the bound, seven to a long.
 GROUPS = 63
 
@@ -218,7 +221,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     def undecided() -> DataFrame:
         """Rows of buckets whose nodes are in several components."""
-        held = placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        if comp is None:
+            held = placed.withColumn("comp", F.col("rep"))
+        else:
+            held = placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
         return spool(held.join(mixed, "bucket", "left_semi"))
 
@@ -242,20 +248,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     able = lambda most: 100 * most >= percent * (F.col("n") + F.col("n2") - most)
     least = placed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("s")).select("bucket", "s.*")
     compare(placed.join(rename(least, "rep", "n"), "bucket").where((F.col("rep") != F.col("rep2")) & able(F.least("n", "n2"))).select(*pair).distinct())
-    if comp is not None:
-        placed = undecided()
-        facts = _counted(placed, texts, shingle)
-        placed = placed.drop("comp")
-        middle = undecided().join(facts.select("rep", "own"), "rep")
-        center = middle.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "own", "comp"), F.struct(F.col("own") / F.col("n"), "rep")).alias("s")).select("bucket", "s.*")
-        most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
-        compare(middle.join(rename(center, "rep", "n", "own", "comp"), "bucket").where((F.col("comp") != F.col("comp2")) & able(most)).select(*pair).distinct())
-        last = spool(undecided().join(facts, "rep").join(nodes.select("rep", "bands"), "rep"))
-        # A pair counts in the first bucket that its nodes share.
-        first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
-        counts = F.coalesce(able(shared_at_most(F.col("groups"), F.col("groups2"))), F.lit(True))
-        both = last.join(rename(last, "rep", "n", "own", "comp", "groups", "bands"), "bucket")
-        compare(both.where((F.col("rep") > F.col("rep2")) & (F.col("comp") != F.col("comp2")) & able(most) & counts & first).select(*pair))
+    placed = undecided()
+    facts = _counted(placed, texts, shingle)
+    placed = placed.drop("comp")
+    # A node whose own shingles are more than what may be missing has no links at all.
+    alone = 100 * (F.col("n") - F.col("own")) < percent * F.col("n")
+    middle = undecided().join(facts.select("rep", "own"), "rep").where(~alone)
+    center = middle.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "own", "comp"), F.struct(F.col("own") / F.col("n"), "rep")).alias("s")).select("bucket", "s.*")
+    most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+    compare(middle.join(rename(center, "rep", "n", "own", "comp"), "bucket").where((F.col("comp") != F.col("comp2")) & able(most)).select(*pair).distinct())
+    last = undecided().join(facts, "rep").where(~alone).join(nodes.select("rep", "bands"), "rep")
+    # A bucket's nodes are dealt to parts of about PART; each two parts meet under a key of their own.
+    last = last.join(last.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "bucket")
+    last = spool(last.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+    met = last.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).drop("parts", "other")
+    # A pair counts in the first bucket that its nodes share.
+    first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
+    counts = F.coalesce(able(shared_at_most(F.col("groups"), F.col("groups2"))), F.lit(True))
+    facing = met.select("bucket", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "own", "comp", "groups", "bands", "part")))
+    both = met.join(facing, ["bucket", "x", "y"]).where((F.col("x") == F.col("y")) | (F.col("part") != F.col("part2")))
+    compare(both.where((F.col("rep") > F.col("rep2")) & (F.col("comp") != F.col("comp2")) & able(most) & counts & first).select(*pair))
     base = info.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     if comp is not None:
         base = base.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -269,13 +281,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, columns as they are, but those that near_duplicates() says another one stands for.
 
     Rows that share a doc_id are documents of their own, judged by their own texts and ordered by doc_id, then
-    text; of rows equal in both one stays. Rows with a null doc_id all stay.
+    text; of rows equal in both one stays. Rows with a null doc_id, and those with a null or empty text or one
+    without words, all stay. Columns of any name are kept; an empty table stays empty.
     """
     known = docs.where("doc_id is not null")
     if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
         # Ids in the order of (doc_id, text), written once, so that they are the same wherever they are read.
-        rows = spool(known.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
-        gone = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent).where("not kept").select(F.col("doc_id").alias("_row"))
-        return rows.join(gone, "_row", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        row = fresh(docs.columns, "_row")
+        rows = spool(known.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn(row, F.monotonically_increasing_id()))
+        gone = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle, percent).where("not kept").select(F.col("doc_id").alias(row))
+        return rows.join(gone, row, "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
