@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import small_batches, spool
 
 #: Hash buckets of the n-grams of 1, 2 and 3 code points, and the weight of each length in the blend.
 BUCKETS = (512, 4096, 8192)
@@ -25,6 +25,8 @@ BLEND = (0.2, 0.3, 0.5)
 PER_LANGUAGE, LANDMARKS = 400, 40
 #: Longer labelled texts aren't fitted on (they are predicted whole like any other).
 LONGEST_FITTED = 20_000
+#: Parts in which a language's rows are ranked before the best of all parts meet.
+SALTS = 32
 RIDGE = 1e-2
 
 _STARTS = np.cumsum((0, *BUCKETS))
@@ -105,12 +107,17 @@ def fit_rows(labels: list[str], rows: np.ndarray) -> Model:
 def fit(labelled: DataFrame) -> Model:
     """Fit on (doc_id, text, lang): of each language the PER_LANGUAGE texts of the least id hashes, up to LONGEST_FITTED.
 
-    Null texts, languages and ids aren't fitted on. The rows that come to the driver are hashed bits, at most
-    PER_LANGUAGE for each language.
+    Null texts, languages and ids aren't fitted on, repeated rows once. The rows that come to the driver are
+    hashed bits, at most PER_LANGUAGE for each language.
     """
-    usable = labelled.where("lang is not null and doc_id is not null and length(text) between 1 and " + str(LONGEST_FITTED))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = usable.select("doc_id", "text", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PER_LANGUAGE)
+    usable = labelled.where("lang is not null and doc_id is not null and length(text) between 1 and " + str(LONGEST_FITTED)).select("lang", "text", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
+    # Rows are chosen by their hashes, first in SALTS parts of each language; only the chosen ones' texts are sent.
+    keys = usable.select("lang", "_h", "_t")
+    part, order = (F.pmod(F.col("_h"), F.lit(SALTS)),), ("_h", "_t")
+    for by in (("lang", *part), ("lang",)):
+        keys = keys.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= PER_LANGUAGE)
+    chosen = spool(keys.groupBy("lang", "_h", "_t").agg(F.min("_r").alias("_r")))
+    chosen = usable.join(chosen, ["lang", "_h", "_t"]).dropDuplicates(["lang", "_h", "_t"])
 
     def run(batches):
         for batch in batches:
