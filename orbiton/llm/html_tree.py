@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-# Elements that break a line of text, those that hold no text of the page, those that never
-# have an end, and those that a like element closes.
+# Elements that break a line of text, those whose contents are raw to the end of the page if
+# need be, those that hold no text of the page if they end, those that never have an end, and those that a
+# like element closes.
 BLOCKS = frozenset("html head body title main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend label select option button textarea blockquote pre figure figcaption address details summary hr menu dialog center noscript iframe svg".split())
-RAW = frozenset("script style template noscript iframe svg textarea select object canvas".split())
+RAW = frozenset("script style textarea".split())
+HELD = RAW | frozenset("template noscript iframe svg select object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Words of class, id and role attributes, by what they tell.
@@ -85,10 +87,11 @@ class Page:
                 link = 0 if ending else 1
             if name == "br":
                 run.append(" ")
-            if not ending and name in RAW and not attributes.endswith("/"):
+            if not ending and name in HELD and not attributes.endswith("/"):
                 end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-                continue
+                if end or name in RAW:
+                    at = end.end() if end else len(source)
+                    continue
             if name not in BLOCKS:
                 continue
             close_run()
