@@ -17,9 +17,11 @@ BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share, as the session names it; a local session without one gets one here."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -154,5 +156,13 @@ def blocks(rows: list[bytes], size: int = BLOCK_BYTES):
         yield first, len(rows)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called so (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import spool
+from .common import fresh, spool
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key buckets of a source: a source of any size is cut into so many pieces by the rank of its keys.
@@ -113,11 +113,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17,
     """The mixed corpus: each row of docs, columns as they are, as often as plan() takes its document.
 
     Rows whose doc_id is null are in the plan but can't be found again and are left out; rows that share a
-    doc_id are each taken as often as the plan's least count for it.
+    doc_id are each taken as often as the plan's least count for it. Null and empty texts have no words and
+    come with the epochs; columns of any name are kept; an empty table stays empty.
     """
-    copies = plan(docs.select("doc_id", "text", "source"), weights, seed, most).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0")
     names = docs.columns
-    return docs.join(copies, "doc_id").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    n, each = fresh(names, "_copies"), fresh(names, "_copy")
+    copies = plan(docs.select("doc_id", "text", "source"), weights, seed, most).groupBy("doc_id").agg(F.min("copies").alias(n)).where(F.col(n) > 0)
+    return docs.join(copies, "doc_id").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(each)).drop(each)
 
 
 #: plan() with its defaults, as DuckDB SQL.

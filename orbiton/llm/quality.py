@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Words, blocks, encoded, small_batches, spool
 
-#: Steps of a ladder; cutoff j rejects scores above 1 - (j + 1) / STEPS.
+#: Scores are counted in STEPS equal steps; rung j of a ladder rejects scores above 1 - (j + 1) / STEPS.
 STEPS = 50
-#: The strictest rung: no rule rejects scores of 1 - MOST_RUNG / STEPS = 0.06 or less, however the labels fall.
-MOST_RUNG = 47
+#: Rungs of a ladder: the candidates for a rule's cutoff are 0.98, 0.96, ..., 0.06. Which of them is taken is
+#: for the labels alone to say. Scores under the last are those of ordinary prose, and no candidate is among them.
+RUNGS = 47
 RULES = ("symbols", "punctuation", "shouting", "repeated_lines", "repeated_words")
 
 _SYMBOL = np.zeros(256, np.uint8)
@@ -119,7 +120,7 @@ def certify(good: dict[str, list[int]], risk: float, delta: float, n_tests: int)
     for rule, by_steps in good.items():
         n, rejected, best = sum(by_steps), 0, 0
         most = math.floor(n * risk / len(good))
-        for rung in range(MOST_RUNG):
+        for rung in range(RUNGS):
             # Rung j rejects documents with at least STEPS - j steps.
             rejected += by_steps[STEPS - rung]
             if not n or rejected > most or upper_bound(rejected, n, delta / n_tests) > risk / len(good):
@@ -181,6 +182,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     """The rows of docs, all columns as they are, that judge() keeps.
 
     The texts aren't shuffled: the thresholds, one row for each stratum, go to a second pass over docs.
+    Null and empty texts fail the base rule and go; repeated rows are kept or go alike, and so do rows with a
+    null doc_id, which no label names; a null stratum is one of its own; columns of any name are kept; empty
+    docs give no rows, empty labels certify no rule.
     """
     measured = spool(measure(docs, ("doc_id", stratum)))
     cuts = {r["stratum"]: {k: r[f"rung_{k}"] for k in RULES} for r in thresholds(measured, labels, stratum, risk, delta).collect()}

@@ -81,6 +81,68 @@ def test_pages(spark):
     assert html_tree.extract(df.limit(0)).count() == 0
 
 
+def test_only_raw_text_swallows_the_rest_of_a_page():
+    model = html_tree.trained()
+    a, b, c = (prose(25, i).capitalize() + "." for i in range(3))
+    for tag in ("noscript", "object", "select", "canvas", "template", "iframe", "svg"):
+        page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Head line</h1><p>{a}</p><{tag}><p>{b}</p><p>{c}</p></article></body></html>"
+        assert html_tree.texts_of([page], model)[0].split("\n")[1:] == [a, b, c], tag
+    page = f"<body><article><h1>Head line</h1><p>{a}</p><noscript><img src=x></noscript><p>{b}</p><script>var x = '<p>{c}</p>'</article>"
+    assert html_tree.texts_of([page], model)[0].split("\n")[1:] == [a, b]
+
+
+# Pages of other makers' layouts, written by hand: source and main text.
+_P = [prose(28, 70 + i).capitalize() + "." for i in range(8)]
+BY_HAND = [
+    # A weblog of columns by div, with comments and a list of older entries.
+    (f"<html><head><title>My log</title></head><body><div id='page'><div id='header'><h1 class='site-title'><a href='/'>My log</a></h1><div class='description'>Notes on things</div></div><div id='content' class='narrowcolumn'><div class='post' id='post-12'><h2>On gardens</h2><div class='entry'><p>{_P[0]}</p><p>{_P[1]}</p><blockquote><p>{_P[2]}</p></blockquote></div><p class='postmetadata tags'>Posted in <a href='/c'>Garden</a></p></div><ol class='commentlist'><li><p>{_P[6]}</p></li><li><p>{_P[7]}</p></li></ol></div><div id='sidebar'><h2>Archives</h2><ul><li><a href='/1'>May</a></li><li><a href='/2'>June</a></li></ul></div><div id='footer'><p>Powered by a press</p></div></div></body></html>", ["On gardens", _P[0], _P[1], _P[2]]),
+    # A manual: navigation beside main, code, a table.
+    (f"<!doctype html><html><body><header role=banner><a class=logo href=/>Tool</a><nav><a href=/a>Guide</a><a href=/b>Reference</a></nav></header><div class=layout><aside class=toc-sidebar><ul><li><a href=#1>Install</a></li><li><a href=#2>Use</a></li></ul></aside><main><article class=markdown-body><h1>Install</h1><p>{_P[0]}</p><pre><code>tool install --all</code></pre><h2>Use</h2><p>{_P[1]}</p><table><tr><th>Option</th><td>Meaning</td></tr></table></article></main></div><footer><p>&copy; the makers</p></footer></body></html>", ["Install", _P[0], "tool install --all", "Use", _P[1], "Option", "Meaning"]),
+    # A paper: story in a section, adverts between its paragraphs, a notice above.
+    (f"<html><body class=article-page><div class='cookie-banner'><p>We value your privacy and use cookies to improve your visit.</p><button>Accept</button></div><div class='topbar'><a href=/>News</a> <a href=/s>Sport</a></div><section class='article-body'><h1>Harvest late</h1><p>{_P[0]}</p><div class='advert-box'><p>Buy one, get one free today only!</p></div><p>{_P[1]}</p><p>{_P[2]}</p><form class='newsletter'><p>Sign up for our letter.</p><input></form></section><div class='related'><h3>Related</h3><ul><li><a href=/x>Rain</a></li></ul></div><div class='copyright'>&copy; 2020 The Paper. All rights reserved.</div></body></html>", ["Harvest late", _P[0], _P[1], _P[2]]),
+]
+
+
+def test_pages_of_other_layouts():
+    got = html_tree.texts_of([source for source, _ in BY_HAND], html_tree.trained())
+    right = total = found = 0
+    for text, (_, want) in zip(got, BY_HAND):
+        lines = text.split("\n")
+        right, found, total = right + len(set(lines) & set(want)), found + len(lines), total + len(want)
+    assert right / total >= 0.9 and right / found >= 0.9, (right, found, total, got)
+
+
+def test_predictions_equal_their_definition(make_docs):
+    texts = [f"{w} {w[::-1]} {i} " * (3 + i % 5) for i, w in enumerate("haus katze maison chat house dog casa perro baum arbre tree arbol".split() * 6)]
+    langs = "de de fr fr en en es es de fr en es".split() * 6
+    docs = make_docs([*texts, None, "", "12 34", "z" * 30_000], repeat=(3,), lang=F.element_at(F.array(*(F.lit(x) for x in [*langs, "de", "de", "de", None])), (F.col("doc_id") + 1).cast("int")))
+    got = language.identify(docs).collect()
+    fitted = [i for i in range(72) if zlib.crc32(str(i).encode()) % 5]
+    h = {r.doc_id: (r.h, r.t) for r in docs.where("doc_id < 72").select("doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).collect()}
+    order = sorted(fitted, key=lambda i: (langs[i], h[i]))
+    rows, start = language.presence(texts).astype(int), np.cumsum((0, *language.BUCKETS))
+
+    def kernel(i, j):
+        parts = [(rows[i][a:b], rows[j][a:b], w) for a, b, w in zip(start, start[1:], language.BLEND)]
+        return sum(w * (x & y).sum() / np.sqrt(max(1, x.sum()) * max(1, y.sum())) for x, y, w in parts)
+
+    names = sorted(set(langs))
+    marks = [i for c in names for i in [j for j in order if langs[j] == c][: language.LANDMARKS]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(i, j) for j in marks] for i in marks]))
+    keep = values > 1e-6 * values[-1]
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[kernel(i, j) for j in marks] for i in order]) @ root
+    y = np.where(np.array([langs[i] for i in order])[:, None] == np.array(names), 1.0, -1.0)
+    weight = np.array([1 / sum(langs[j] == langs[i] for j in order) for i in order])[:, None]
+    beta = np.linalg.solve((phi * weight).T @ phi + language.RIDGE * np.eye(phi.shape[1]), (phi * weight).T @ y)
+    for r in got:
+        if r.doc_id < 72:
+            s = np.array([kernel(r.doc_id, j) for j in marks]) @ root @ beta
+            e = np.exp(4 * (s - s.max()))
+            assert abs(r.score - e.max() / e.sum()) < 5e-3 and (r.lang_pred == names[s.argmax()] or np.sort(s)[-2] > s.max() - 1e-2)
+    assert {r.lang_pred for r in got if 72 <= r.doc_id < 75} == {"und"} and len(got) == 77
+
+
 # Pipeline -----------------------------------------------------------------------------------------------
 
 

@@ -162,6 +162,39 @@ def test_thresholds_reject_junk_and_keep_the_good(make_docs, spark):
     assert rows.columns == docs.columns and {r.doc_id for r in rows.collect()} == kept
 
 
+def test_verdicts_equal_brute_force(make_docs, spark):
+    import random
+
+    r = random.Random(3)
+    texts = [prose(60 + i % 9, i) + r.choice(["", "", "!" * r.randint(0, 30), " # | $" * r.randint(0, 12), (" " + prose(6, i)).upper() * r.randint(0, 5)]) for i in range(700)] + [None, "", "two words"]
+    docs = make_docs(texts, repeat=(5, 6), lang=F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit(None)), (F.col("doc_id") % 3 + 1).cast("int")))
+    rows = [(i, int(i % 7 > 0), 0) for i in range(700)] + [(8, 0, 0), (9, None, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    risk, delta = 0.3, 0.1
+    # By definition: of every cutoff the false rejections among the good documents of a stratum.
+    score, failed = [], []
+    for t in texts:
+        n_words, chars, symbols, dup, repeat = brute_counts(t)
+        failed.append(n_words < 10 or 100 * repeat > 20 * n_words)
+        full = [x for x in (t or "").split("\n") if x.strip()]
+        score.append({"symbols": symbols / max(1, chars), "punctuation": sum(33 <= ord(c) < 127 and not c.isalnum() for c in t or "") / max(1, chars), "shouting": sum("A" <= c <= "Z" for c in t or "") / max(1, chars), "repeated_lines": dup / max(1, len(full)), "repeated_words": repeat / max(1, n_words)})
+    bad = {i for i, q, _ in rows if q == 0}
+    cut = {}
+    for k in range(3):
+        good = [i for i in range(700) if i % 3 == k and i not in bad and not failed[i]]
+        for rule in quality.RULES:
+            for j in range(quality.RUNGS):
+                c = 1 - (j + 1) / quality.STEPS
+                wrong = sum(score[i][rule] > c + 1e-9 for i in good)
+                if wrong > len(good) * risk / 5 or quality.upper_bound(wrong, len(good), delta / 15) > risk / 5:
+                    break
+                cut[k, rule] = c
+    kept = {i for i in range(len(texts)) if not failed[i] and not any(score[i][rule] > cut.get((i % 3, rule), 2) + 1e-9 for rule in quality.RULES)}
+    assert cut and 0 < len(kept) < 700 - sum(failed)
+    assert {x.doc_id for x in quality.judge(docs, labels, risk=risk, delta=delta).where("kept").collect()} == kept
+    assert sorted(x.doc_id for x in quality.keep_good(docs, labels, risk=risk, delta=delta).collect()) == sorted([*kept, *({5, 6} & kept)])
+
+
 def test_few_labels_certify_nothing(make_docs, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     assert quality.judge(make_docs([" | ".join(prose(50, i).split()) for i in range(20)]), labels).where("not kept").count() == 0
@@ -210,6 +243,35 @@ def test_near_duplicates_equal_brute_force(make_docs, odd_texts, k):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in enumerate(comp) if i == c}
 
 
+def test_recall_at_the_threshold(make_docs):
+    import random
+
+    r = random.Random(12)
+    texts = []
+    for i in range(150):
+        words = [f"w{r.randint(0, 10**9)}" for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(words))
+        # One word changed takes k shingles from both sets: as many changes as 80 in 100 allows.
+        n, k = len(words) - 4, 5
+        changes = int(n * 0.2 / 1.8 / k)
+        for j in range(changes):
+            words[k + j * (len(words) - 2 * k) // max(1, changes)] = f"x{r.randint(0, 10**9)}"
+        texts.append(" ".join(words))
+    comp, _ = brute_components(texts, 5)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(make_docs(texts), 5, 80).collect()}
+    assert sum(i != c for i, c in enumerate(comp)) > 140 and got == dict(enumerate(comp))
+
+
+def test_large_buckets_are_dealt_to_parts(make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 3)
+    base = prose(200, 4).split()
+    # Near copies of one text: each lacks some of a passage, so that ends of the row aren't linked.
+    texts = [" ".join(base[: 100 + 3 * i]) for i in range(30)] + [" ".join(base[60:100] + prose(60, i).split()) for i in range(30)]
+    comp, _ = brute_components(texts, 5)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(make_docs(texts), 5, 80).collect()}
+    assert got == dict(enumerate(comp))
+
+
 def test_near_duplicates_of_nothing_and_of_repeats(make_docs):
     assert neardup.near_duplicates(make_docs([])).count() == 0
     assert neardup.near_duplicates(make_docs([prose(30, 1), prose(30, 2)], repeat=(0, 1))).count() == 4
@@ -316,7 +378,7 @@ def luhn(s):
 
 def test_surrogates_keep_type_format_and_coreference(make_docs, odd_texts):
     docs = make_docs([*PRIVATE, *odd_texts, "see 1.2.3 at 10:30, 50% of 1999"])
-    out = pii.replace_pii(docs)
+    out = pii.replace_pii(docs, "k")
     assert out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}
     assert [got[len(PRIVATE) + i] for i in range(len(odd_texts) + 1)] == [*odd_texts, "see 1.2.3 at 10:30, 50% of 1999"]
@@ -329,7 +391,7 @@ def test_surrogates_keep_type_format_and_coreference(make_docs, odd_texts):
     assert all(luhn(c) == luhn(o) for c, o in zip(re.findall(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", got[2]), ("4381893557741609", "4111111111111111")))
     assert re.fullmatch(r'AKIA[A-Z0-9]{16} token = "[0-9a-f]{40}" password=[0-9a-f]{18}', got[3])
     m = re.fullmatch(r"Mrs\. (\w+ \w+) met Mr (\w+ \w+) and Mrs\. (\w+ \w+)", got[4])
-    assert m and m[1] == m[3] != m[2] and m[1].split()[0] in pii.FEMALE and m[2].split()[0] in pii.MALE
+    assert m and m[1] == m[3] != m[2] and m[1].split()[0] in pii.NAMES["Latin"][0] and m[2].split()[0] in pii.NAMES["Latin"][1]
     assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d is an account", got[5])
 
 
@@ -343,20 +405,18 @@ def test_surrogates_depend_on_the_key_and_stay_distinct(make_docs):
 
 
 def test_collisions_draw_again(make_docs, monkeypatch):
-    monkeypatch.setattr(pii, "FAMILY", pii.FAMILY[:2])
-    monkeypatch.setattr(pii, "MALE", pii.MALE[:2])
+    monkeypatch.setattr(pii, "NAMES", {k: tuple(x[:2] for x in v) for k, v in pii.NAMES.items()})
     names = [f"Mr {a} {b}" for a in ("Tom", "Tim", "Ted") for b in ("Abel", "Boone", "Cole")]
     for broadcast in (5_000, 0):
         monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
-        got = [r.text for r in pii.replace_pii(make_docs(names * 2)).collect()]
+        got = [r.text for r in pii.replace_pii(make_docs(names * 2), "k").collect()]
         assert len(set(got)) == 9 and not set(got) & set(names)
 
 
 def test_any_number_of_names_gets_surrogates(make_docs, monkeypatch):
-    monkeypatch.setattr(pii, "FAMILY", pii.FAMILY[:2])
-    monkeypatch.setattr(pii, "FAMILY_CYRILLIC", pii.FAMILY_CYRILLIC[:2])
+    monkeypatch.setattr(pii, "NAMES", {k: tuple(x[:2] for x in v) for k, v in pii.NAMES.items()})
     names = [f"Mr N{a}{b}" for a in "abcdefgh" for b in "abcdefgh"] + [f"Господин Н{a}{b}" for a in "абвгдежз" for b in "абвгдежз"]
-    got = [r.text for r in pii.replace_pii(make_docs([*names, "password=--------"])).collect()]
+    got = [r.text for r in pii.replace_pii(make_docs([*names, "password=--------"]), "k").collect()]
     assert len(set(got)) == 129 and set(got) & {*names, "password=--------"} == {"password=--------"}
 
 
@@ -374,7 +434,7 @@ def test_surrogates_are_compared_as_written(spark):
 def test_short_addresses_and_full_names_stay_distinct(make_docs):
     addresses = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
     names = [f"{t} Kim N{a}{b}" for t in ("Mr", "Mrs") for a in "abcdefgh" for b in "abcdefgh"]
-    got = [r.text for r in pii.replace_pii(make_docs([*addresses, *names])).collect()]
+    got = [r.text for r in pii.replace_pii(make_docs([*addresses, *names]), "k").collect()]
     assert len(set(got)) == 528 and not set(got) & {*addresses, *names}
 
 
@@ -385,7 +445,7 @@ def test_telephone_numbers_of_several_countries(spark):
     for i, x in enumerate(numbers):
         # A number of open length may take in what stands behind it, never less than the number.
         assert len(found[i]) == 2 and found[i][0] == x and found[i][1].startswith(x), (x, found[i])
-    written = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).collect()}
+    written = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string"), "k").collect()}
     shape = lambda x: re.sub("[0-9]", "d", x)
     assert all(shape(written[i]) == shape(x) and written[i] != x for i, x in enumerate(numbers))
     digits = lambda x: re.sub(r"\(0\)|[^0-9]", "", x)
@@ -396,8 +456,59 @@ def test_telephone_numbers_of_several_countries(spark):
     assert not rows, rows
 
 
+def test_names_of_several_scripts_with_and_without_titles(make_docs):
+    said = ["Anna Ivanova met Peter Stone", "Dr. Alan Carter and Professor Jane Moore", "Mr 王小明 und Ms 李娜", "Mr Παπαδόπουλος, Κυρία Ελένη Παππά", "Госпожа Анна Петрова", "so Alan Carter saw Mrs Anna Ivanova", "at 2001:db8::ff00:42:8329 or fe80:0:0:0:0:0:0:1 but std::vector a::b"]
+    got = [r.text for r in pii.replace_pii(make_docs(said), "k").orderBy("doc_id").collect()]
+    latin, han, greek, cyrillic = (pii.NAMES[k] for k in ("Latin", "Han", "Greek", "Cyrillic"))
+    m = re.fullmatch(r"((\w+) \w+) met ((\w+) \w+)", got[0])
+    assert m[2] in latin[0] and m[4] in latin[1]
+    n = re.fullmatch(r"Dr\. ((\w+) \w+) and Professor ((\w+) \w+)", got[1])
+    assert n[2] in latin[1] and n[4] in latin[0]
+    h = re.fullmatch(r"Mr (\w+) und Ms (\w+)", got[2])
+    assert h[1][-1] in han[1] and h[2][-1] in han[0] and h[1][0] in han[2]
+    g = re.fullmatch(r"Mr (\w+), Κυρία (\w+) (\w+)", got[3])
+    assert g[1] in greek[2] and g[2] in greek[0] and g[3] in greek[2]
+    assert re.fullmatch(r"Госпожа (\w+) \w+", got[4])[1] in cyrillic[0]
+    assert got[5] == f"so {n[1]} saw Mrs {m[1]}"
+    assert got[6].endswith("but std::vector a::b") and re.sub("[0-9a-f]", "x", got[6][:56]) == re.sub("[0-9a-f]", "x", said[6][:56]) and "db8" not in got[6] and "fe80" not in got[6]
+
+
+def test_replacement_equals_brute_force(make_docs, odd_texts):
+    import random
+
+    import regex
+
+    r = random.Random(8)
+    some = [x for t in PRIVATE for x in [t]] + [f"user{i % 9}@mail{i % 4}.example.org calls (521) 555-62{i:02} from 10.1.2.{i} as Mr N{'abc'[i % 3]}{'de'[i % 2]}" for i in range(30)]
+    texts = [*odd_texts, *(prose(9, i) + " " + r.choice(some) + " " + prose(4, i + 99) + "; " + r.choice(some) for i in range(60))]
+    docs = make_docs(texts, repeat=(20, 21), _again="kept", _t=5, _text="mine")
+    rows = pii.replace_pii(docs, "k").collect()
+    assert {(x._e, x._again, x._t, x._text) for x in rows} == {("x", "kept", 5, "mine")} and len(rows) == len(texts) + 2
+    pattern, mask = regex.compile(pii.PATTERN), lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
+    spark = docs.sparkSession
+    said = {m for t in texts if t for m in pattern.findall(t)}
+    forms = {x.e: (x.kind, x.form) for x in spark.createDataFrame([(m,) for m in said], "e string").withColumn("kind", pii.kind_of(F.col("e"))).withColumn("form", pii.canonical(F.col("e"), F.col("kind"))).collect()}
+    of: dict = {}
+    for x in rows:
+        t = texts[x.doc_id]
+        if t is None or not pattern.search(t):
+            assert x.text == t
+            continue
+        # What stands between mentions stays; the rest of the text is one surrogate for each mention, in order.
+        between, own = pattern.split(t), pattern.findall(t)
+        slots = ["(.+?)" if forms[m][0] in ("name", "email", "ip") else f"(.{{{len(m)}}})" for m in own]
+        found = re.fullmatch("".join(re.escape(b) + g for b, g in zip(between, [*slots, ""])), x.text, re.S)
+        assert found, (t, x.text)
+        for m, s in zip(own, found.groups()):
+            kind, form = forms[m]
+            assert of.setdefault((kind, form), {}).setdefault(m, s) == s != m
+            assert kind in ("name", "email", "ip", "secret") or mask(s) == mask(m)
+    written = [{re.sub(r"[^\w@.]", "", s).lower() for s in v.values()} for v in of.values()]
+    assert len({min(w) for w in written}) == len(written) and not {min(w) for w in written} & {f for _, f in forms.values()}
+
+
 def test_pii_of_nothing(make_docs):
-    assert pii.replace_pii(make_docs([])).count() == 0
+    assert pii.replace_pii(make_docs([]), "k").count() == 0
 
 
 # Fingerprints -------------------------------------------------------------------------------------------
