@@ -29,9 +29,6 @@ T = 128
 #: Rows of a band. At similarity 0.8 a pair shares no band of 4 of 128 coordinates with probability under 1e-7.
 BAND_ROWS = 4
 
-#: Nodes of a bucket that one key of the last round's join holds on a side; a larger bucket is dealt to several.
-PART = 256
-
 #: Hash groups whose shingles are counted for the bound, seven to a long.
 GROUPS = 63
 
@@ -257,16 +254,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     center = middle.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "own", "comp"), F.struct(F.col("own") / F.col("n"), "rep")).alias("s")).select("bucket", "s.*")
     most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
     compare(middle.join(rename(center, "rep", "n", "own", "comp"), "bucket").where((F.col("comp") != F.col("comp2")) & able(most)).select(*pair).distinct())
-    last = undecided().join(facts, "rep").where(~alone).join(nodes.select("rep", "bands"), "rep")
-    # A bucket's nodes are dealt to parts of about PART; each two parts meet under a key of their own.
-    last = last.join(last.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "bucket")
-    last = spool(last.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
-    met = last.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).drop("parts", "other")
+    last = spool(undecided().join(facts, "rep").where(~alone).join(nodes.select("rep", "bands"), "rep"))
     # A pair counts in the first bucket that its nodes share.
     first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
     counts = F.coalesce(able(shared_at_most(F.col("groups"), F.col("groups2"))), F.lit(True))
-    facing = met.select("bucket", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "own", "comp", "groups", "bands", "part")))
-    both = met.join(facing, ["bucket", "x", "y"]).where((F.col("x") == F.col("y")) | (F.col("part") != F.col("part2")))
+    both = last.join(rename(last, "rep", "n", "own", "comp", "groups", "bands"), "bucket")
     compare(both.where((F.col("rep") > F.col("rep2")) & (F.col("comp") != F.col("comp2")) & able(most) & counts & first).select(*pair))
     base = info.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     if comp is not None:

@@ -39,6 +39,16 @@ TITLES = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur"
 KNOWN_FEMALE = "Alice Amelia Ana Andrea Anja Anna Barbara Camille Carmen Caroline Catherine Charlotte Chloé Christina Claire Clara Claudia Daniela Diana Elena Elisabeth Elizabeth Emily Emma Eva Fatima Hannah Helena Ingrid Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Lena Linda Lisa Lucía Luisa Margaret Maria María Marie Martina Mary Monika Nadia Nicole Nina Olga Olivia Patricia Paula Petra Rachel Rosa Sabine Sandra Sara Sarah Silvia Sofia Sophie Stefanie Susan Teresa Ursula Valentina Victoria".split()
 KNOWN_MALE = "Adam Ahmed Alan Alexander Ali Andreas Andrew Anthony Antonio Benjamin Carlos Charles Christian Christopher Daniel David Diego Edward Eric Fernando François Frank Fritz Georg George Giovanni Hans Henry Hugo Ivan Jack Jacques James Jan Javier Jean Johann John Jonas Jorge José Joseph Juan Jürgen Karl Kevin Klaus Lukas Manuel Marco Martin Matthew Michael Miguel Mohammed Nicolas Oliver Oscar Pablo Paul Pedro Peter Philipp Pierre Rafael Richard Robert Roberto Sebastian Sergio Stefan Stephen Steven Thomas Walter Werner William Wolfgang".split()
 
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words that looks at a word's first letter before its others."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")"
+
+
 _NAME_WORD = r"(?:\p{Lu}[\p{Ll}'’-]+|\p{IsHan}{2,4})"
 # Between two digits of a number: an optional separator, brackets about it.
 _GAP = r"\)?(?: ?[/-] ?|[ .])?\(?"
@@ -68,11 +78,11 @@ PATTERNS = {
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?=[+(0-9])(?:" + "|".join(_PHONES) + r")(?![0-9])",
-    "name": r"(?<![\p{L}])(?=\p{Lu})(?:(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r")\.? " + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2}|(?:" + "|".join([*KNOWN_FEMALE, *KNOWN_MALE]) + r")(?: " + _NAME_WORD + r"){1,2})(?![\p{L}])",
+    "name": r"(?<![\p{L}])(?=\p{Lu})(?:" + _any_of([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r"\.? " + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2}|" + _any_of([*KNOWN_FEMALE, *KNOWN_MALE]) + r"(?: " + _NAME_WORD + r"){1,2})(?![\p{L}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these; most texts have none and are spared PATTERN.
-HINT = r"[@0-9=:]|(?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r")\.? |(?:" + "|".join([*KNOWN_FEMALE, *KNOWN_MALE]) + r") "
+HINT = r"[@0-9=:]|(?<![\p{L}])(?=\p{Lu})(?:" + _any_of([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r"\.?|" + _any_of([*KNOWN_FEMALE, *KNOWN_MALE]) + r") [\p{Lu}\p{IsHan}]"
 #: A form of address before a name.
 _TITLE = r"\A((?:" + "|".join([*FEMALE_TITLES, *MALE_TITLES, *TITLES]) + r")\.? )"
 

@@ -262,8 +262,7 @@ def test_recall_at_the_threshold(make_docs):
     assert sum(i != c for i, c in enumerate(comp)) > 140 and got == dict(enumerate(comp))
 
 
-def test_large_buckets_are_dealt_to_parts(make_docs, monkeypatch):
-    monkeypatch.setattr(neardup, "PART", 3)
+def test_rows_of_overlapping_texts(make_docs):
     base = prose(200, 4).split()
     # Near copies of one text: each lacks some of a passage, so that ends of the row aren't linked.
     texts = [" ".join(base[: 100 + 3 * i]) for i in range(30)] + [" ".join(base[60:100] + prose(60, i).split()) for i in range(30)]
