@@ -137,17 +137,22 @@ def group_counts(shingles: np.ndarray) -> list[int] | None:
 
 
 def shared_at_most(x: Column, y: Column) -> Column:
-    """The sum of the lesser counts of two group_counts(), lane by lane in whole longs."""
+    """The sum of the lesser counts of two group_counts(), lane by lane in whole longs.
+
+    By functions of arrays, as written out for every long the code that Spark makes of it is very large.
+    """
     high, even = F.lit(0x0080808080808080), F.lit(0x00FF00FF00FF00FF)
-    total = F.lit(0).cast("long")
-    for i in range(GROUPS // 7):
-        a, b = x[i], y[i]
+
+    def least(a: Column, b: Column) -> Column:
         # The high bit of a lane stays where a's count is not below b's; it widens to a mask of the lane.
         mask = F.shiftrightunsigned((a.bitwiseOR(high) - b).bitwiseAND(high), 7) * 255
-        low = a.bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(mask))
-        total = total + low.bitwiseAND(even) + F.shiftrightunsigned(low, 8).bitwiseAND(even)
-    lane = F.lit(0xFFFF)
-    return total.bitwiseAND(lane) + F.shiftrightunsigned(total, 16).bitwiseAND(lane) + F.shiftrightunsigned(total, 32).bitwiseAND(lane) + F.shiftrightunsigned(total, 48)
+        return a.bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(mask))
+
+    def lanes(t: Column) -> Column:
+        lane = F.lit(0xFFFF)
+        return t.bitwiseAND(lane) + F.shiftrightunsigned(t, 16).bitwiseAND(lane) + F.shiftrightunsigned(t, 32).bitwiseAND(lane) + F.shiftrightunsigned(t, 48)
+
+    return F.aggregate(F.zip_with(x, y, least), F.lit(0).cast("long"), lambda t, low: t + low.bitwiseAND(even) + F.shiftrightunsigned(low, 8).bitwiseAND(even), lanes)
 
 
 def _counted(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -256,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     compare(middle.join(rename(center, "rep", "n", "own", "comp"), "bucket").where((F.col("comp") != F.col("comp2")) & able(most)).select(*pair).distinct())
     last = spool(undecided().join(facts, "rep").where(~alone).join(nodes.select("rep", "bands"), "rep"))
     # A pair counts in the first bucket that its nodes share.
-    first = F.col("bucket") == F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands2")[i], F.col("bands")[i]) for i in range(T // BAND_ROWS)))
+    first = F.col("bucket") == F.element_at(F.array_intersect("bands", "bands2"), 1)
     counts = F.coalesce(able(shared_at_most(F.col("groups"), F.col("groups2"))), F.lit(True))
     both = last.join(rename(last, "rep", "n", "own", "comp", "groups", "bands"), "bucket")
     compare(both.where((F.col("rep") > F.col("rep2")) & (F.col("comp") != F.col("comp2")) & able(most) & counts & first).select(*pair))
