@@ -299,7 +299,7 @@ def _perturbed(sites: DataFrame) -> DataFrame | None:
 def compute_with_report(df: DataFrame, config: VoronoiConfig = VoronoiConfig(), key: str = "site_id", x: Column | str = "x", y: Column | str = "y", z: Column | str = "z") -> SphericalVoronoi:
     """The diagram of the points of df by id column key and coordinate expressions x, y, z.
 
-    Residuals of the output stay in the report.
+    Edges without stored length are contracted where no cell dies of it. Residuals of the output stay in the report.
     """
     radius = config.weld_radius()
     col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -327,7 +327,9 @@ def compute_with_report(df: DataFrame, config: VoronoiConfig = VoronoiConfig(),
         from .repair import rebuild
 
         out = rebuild(out, solved)
-    return out
+    from .resolution import contract_zero_edges
+
+    return contract_zero_edges(out)
 
 
 def compute(df: DataFrame, config: VoronoiConfig = VoronoiConfig(), **columns) -> SphericalVoronoi:

@@ -72,7 +72,7 @@ def sampled_ownership(d: SphericalVoronoi, most: int = 1_000) -> DataFrame:
     """
     index = dense_ids(d.weld.where("site_id = canonical_id").select("site_id"), ["site_id"], "i")
     n = d.effective_cell_count()
-    step = max(1, n // most)
+    step = max(1, -(-n // most))
     chosen = d.cell_centroid().join(index.where(F.col("i") % step == 0), "site_id").select("site_id", "x", "y", "z")
     found = d.build_locator().locate(chosen.withColumnRenamed("site_id", "query_id")).withColumnRenamed("site_id", "owner")
     own = chosen.join(d.sites.select("site_id", *(F.col(c).cast("double").alias(f"s{c}") for c in "xyz")), "site_id")

@@ -68,11 +68,14 @@ def _counts(edges, parts, gone, contracted, preserved, left) -> dict:
 
 
 def enforce_cell_killing(d: SphericalVoronoi) -> None:
-    """Under the error policy, zero edges that could not be contracted raise, naming all inputs of the affected cells."""
+    """Under the error policy, zero edges that could not be contracted raise, naming all inputs of the affected cells.
+
+    The ids are the error's own content, so all of them come to the driver.
+    """
     if d.config.cell_killing is not CellKillingPolicy.ERROR or not d.resolution.get("exact_zero_edges_remaining"):
         return
     hit = d.cell_edges.join(zero_edges(d).select("v0").distinct(), "v0", "left_semi").select(F.col("cell_id").alias("canonical_id")).distinct()
-    ids = sorted(r["site_id"] for r in d.weld.join(hit, "canonical_id", "left_semi").limit(10_000).collect())
+    ids = sorted(r["site_id"] for r in d.weld.join(hit, "canonical_id", "left_semi").select("site_id").collect())
     raise CellEliminationRequired(ids, d.resolution["exact_zero_edges_remaining"])
 
 
