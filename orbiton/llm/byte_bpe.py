@@ -81,7 +81,7 @@ class Codec:
             self.bytes_of[rank] = piece
         # White_Space as the rank files' own library takes it, whatever `\s` is here.
         split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.pieces = PieceEncoder(pattern, split, lambda words: [array("I", self.merge(w.encode())).tobytes() for w in words])
+        self.pieces = PieceEncoder(pattern, split, lambda words: [array("I", self.merge(w.encode())).tobytes() for w in words], limit=120_000, words=600_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest rank first, leftmost on ties."""

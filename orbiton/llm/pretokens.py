@@ -85,8 +85,8 @@ class PieceEncoder:
     128 bits of each.
     """
 
-    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, limit: int = PIECES, added: tuple[str, ...] = ()):
-        self.limit, self.added = limit, added
+    def __init__(self, pattern: str, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, limit: int = PIECES, added: tuple[str, ...] = (), words: int | None = None):
+        self.limit, self.added, self.words = limit, added, words
         self.split, self.encode_words, self.whole = split, encode_words, whole
         self.split_plain = plain_splitter(pattern)
         self.by_words = pattern == _BY_WORDS
@@ -165,7 +165,7 @@ class PieceEncoder:
         ids = flat[np.repeat(first[which] - stop + n, n) + np.arange(stop[-1])]
         ends = stop[np.flatnonzero(which == which[-1])]
         # Remember the new words; one whose first half is taken stays unknown.
-        if len(self.high) + len(new) > WORDS:
+        if len(self.high) + len(new) > (WORDS if self.words is None else self.words):
             self._forget()
             self.flat, new = flat, np.flatnonzero(usual)
         into = new[np.argsort(high[new])]
