@@ -143,7 +143,8 @@ class SphericalVoronoi:
 
     def cell_area(self) -> DataFrame:
         """(site_id, area) of every input site: the fan about the site, long edges in two halves; under 3 corners 0."""
-        a, b, g, m = (S.vector(p) for p in "abgm")
+        a, b, m = (S.vector(p) for p in "abm")
+        g = S.unit(S.vector("g"))  # stored sites are 32-bit: their length is off by up to 1e-7
         short = self.geometry.where(~self._is_long()).select("cell_id", S.solid_angle(g, a, b).alias("piece"))
         half = F.col("angle") / 2
         mid = self.long_edges.withColumns({f"m{c}": F.cos(half) * F.col(f"p{c}") + F.sin(half) * F.col(f"t{c}") for c in "xyz"})

@@ -13,6 +13,7 @@ from ..operators import build, grid, locate as L, quality as Q, resolution as R,
 from ..operators.diagram import SphericalVoronoi
 from ..sources import generators as G
 from ..sources.packed import embeddings_as_sites
+from . import spread
 
 #: Merge radius of the welding queries, edge threshold of the short-edge queries, and cells along a cube edge.
 MERGE, SHORT, RES = 0.02, 0.02, 4
@@ -201,7 +202,7 @@ def elided_mesh(spark, d):
 
 
 def fibonacci_diagram(spark, d):
-    return V.counters(build.compute(G.fibonacci(spark, 10_000)))
+    return V.counters(spread.diagram(spark))
 
 
 def perturbed_circle(spark, d):
@@ -222,7 +223,7 @@ def topology_fingerprint(spark, d):
     return Q.fingerprint(diagram(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (canonical_sites, invalid_sites, project_world, unit_to_world, cube_cells, cell_occupancy, occupancy_stats, weld_pairs, weld_map, weld_report, knn8, locate, locate_counts, delaunay_triangles, welded_triangles, delaunay_edges, adjacency, degree_histogram, voronoi_vertices, cell_area, area_by_label, area_total, cell_centroid, lloyd_step, validation_report, edge_lengths, short_edges, site_chords, quality_summary, residuals_small, sampled_ownership, effective_index, fibonacci_sites, simplified_mesh, elided_mesh, fibonacci_diagram, perturbed_circle, grid_neighbors, sampled_lloyd, topology_fingerprint)}
+QUERIES = {f.__name__: f for f in (canonical_sites, invalid_sites, project_world, unit_to_world, cube_cells, cell_occupancy, occupancy_stats, weld_pairs, weld_map, weld_report, knn8, locate, locate_counts, delaunay_triangles, welded_triangles, delaunay_edges, adjacency, degree_histogram, voronoi_vertices, cell_area, area_by_label, area_total, cell_centroid, lloyd_step, validation_report, edge_lengths, short_edges, site_chords, quality_summary, residuals_small, sampled_ownership, effective_index, fibonacci_sites, simplified_mesh, elided_mesh, fibonacci_diagram, perturbed_circle, grid_neighbors, sampled_lloyd, topology_fingerprint)} | spread.QUERIES
 
 
 # DuckDB SQL --------------------------------------------------------------------------------------------
@@ -284,7 +285,33 @@ occ AS (SELECT cell, count(*) AS n FROM cells GROUP BY cell)"""
 _M = f"WITH {_SITES}, {_mesh_sql()}"
 _C = WORLD.center
 _P = [f"(embedding[{i + 1}]::DOUBLE * 10 - ({float(_C[i])!r})::DOUBLE)" for i in range(3)]
-_ZERO = ("degenerate_cells", "cells_with_fewer_than_three_stored_positions", "cells_with_duplicate_vertices", "cells_with_invalid_references", "invalid_vertex_references", "duplicate_cells_count", "welded_twin_cells", "weld_map_issues", "vertices_off_sphere", "orphan_vertices", "low_incidence_vertices", "degree_0", "degree_1", "degree_2", "degree_4_plus", "self_loop_edges", "zero_length_edges", "antipodal_edges", "boundary_edges", "overused_edges", "same_direction_edge_pairs")
+#: Counters of faults that a mesh made of site triples can't have; the others are counted.
+_ZERO = ("cells_with_duplicate_vertices", "cells_with_invalid_references", "invalid_vertex_references", "welded_twin_cells", "weld_map_issues", "orphan_vertices", "low_incidence_vertices", "degree_0", "degree_1", "degree_2", "degree_4_plus", "self_loop_edges", "same_direction_edge_pairs")
+#: ends: each edge with its number of triangles and the first and last of their vertices.
+_ENDS = """ends AS (SELECT a, b, count(*) AS k, arg_min(x, o) AS x0, arg_min(y, o) AS y0, arg_min(z, o) AS z0, arg_max(x, o) AS x1, arg_max(y, o) AS y1, arg_max(z, o) AS z1
+ FROM (SELECT a, b, c AS o, x, y, z FROM tri UNION ALL SELECT a, c, b, x, y, z FROM tri UNION ALL SELECT b, c, a, x, y, z FROM tri) GROUP BY a, b)"""
+
+
+def _report_sql(tables: str) -> str:
+    """The counters of a diagram whose sites, tri and pairs the tables give."""
+    one = lambda name, e: f"(SELECT {e}) AS {name}"
+    faces = "FROM sites LEFT JOIN (SELECT s, count(*) AS k, count(DISTINCT x::VARCHAR || ' ' || y::VARCHAR || ' ' || z::VARCHAR) AS p FROM inc3 GROUP BY s) ON s = site_id"
+    return f"""WITH RECURSIVE {tables}, {_ENDS},
+inc3 AS (SELECT a AS s, a || ',' || b || ',' || c AS t, x, y, z FROM tri UNION ALL SELECT b, a || ',' || b || ',' || c, x, y, z FROM tri UNION ALL SELECT c, a || ',' || b || ',' || c, x, y, z FROM tri),
+ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+seen(s) AS (SELECT min(site_id) FROM sites UNION SELECT w.b FROM seen JOIN ways w ON w.a = seen.s),
+shapes AS (SELECT count(DISTINCT v) AS n FROM (SELECT list(t ORDER BY t) AS v FROM inc3 GROUP BY s)),
+n AS (SELECT (SELECT count(*) FROM sites) AS f, (SELECT count(*) FROM tri) AS t, (SELECT count(*) FROM ends) AS e)
+SELECT f AS num_cells, t AS num_vertices, t AS used_vertices, e AS num_edges, t - e + f AS euler_characteristic, {one("connected_components", "CASE WHEN count(*) = f THEN 1 ELSE 2 END::BIGINT FROM seen")},
+{one("unique_cells", "n FROM shapes")}, {one("duplicate_cells_count", "f - n FROM shapes")}, {one("total_cell_vertices", "count(*) FROM inc3")}, {one("degree_3", "count(*) FROM tri WHERE a < b AND b < c")},
+{one("degenerate_cells", f"count(*) {faces} WHERE coalesce(k, 0) < 3")}, {one("cells_with_fewer_than_three_stored_positions", f"count(*) {faces} WHERE coalesce(p, 0) < 3")},
+{one("vertices_off_sphere", f"count(*) FROM tri WHERE abs(x * x + y * y + z * z - 1) > {V.ON_SPHERE!r}")}, {one("boundary_edges", "count(*) FROM ends WHERE k < 2")}, {one("overused_edges", "count(*) FROM ends WHERE k > 2")},
+{one("zero_length_edges", "count(*) FROM ends WHERE k = 2 AND x0::FLOAT = x1::FLOAT AND y0::FLOAT = y1::FLOAT AND z0::FLOAT = z1::FLOAT")}, {one("antipodal_edges", "count(*) FROM ends WHERE k = 2 AND x0 * x1 + y0 * y1 + z0 * z1 <= -1 + 1e-12")},
+{", ".join(f"0::BIGINT AS {c}" for c in _ZERO)} FROM n"""
+
+
+#: For the ends of edges: the sine of the angle to the bisector of the edge's sites.
+_OFF = "abs({v}0 * (g.x - h.x) + {w}0 * (g.y - h.y) + {q}0 * (g.z - h.z)) / sqrt((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y) + (g.z - h.z) * (g.z - h.z))".format(v="x", w="y", q="z")
 
 ORACLE_SQL = {
     "canonical_sites": _site_sql(1, "vec_id"),
@@ -311,12 +338,21 @@ ORACLE_SQL = {
     "area_total": f"{_M}, {_HALF} SELECT {_R('sum(area)')} AS area FROM area",
     "cell_centroid": f"{_M}, {_HALF}, {_MOMENT} SELECT site_id, {_R('x')} AS x, {_R('y')} AS y, {_R('z')} AS z FROM cen",
     "lloyd_step": f"{_M}, {_HALF}, {_MOMENT} SELECT site_id, {_R('x::FLOAT::DOUBLE', 5)} AS x, {_R('y::FLOAT::DOUBLE', 5)} AS y, {_R('z::FLOAT::DOUBLE', 5)} AS z FROM cen",
-    "validation_report": f"{_M} SELECT n AS num_cells, t AS num_vertices, t AS used_vertices, p AS num_edges, t - p + n AS euler_characteristic, 1::BIGINT AS connected_components, n AS unique_cells, 2 * p AS total_cell_vertices, t AS degree_3, {', '.join(f'0::BIGINT AS {c}' for c in _ZERO)} FROM (SELECT (SELECT count(*) FROM sites) AS n, (SELECT count(*) FROM tri) AS t, (SELECT count(*) FROM pairs) AS p)",
+    "validation_report": _report_sql(f"{_SITES}, {_mesh_sql()}"),
+    "fibonacci_diagram": _report_sql(spread.mesh_sql(spread.SITES)),
     "edge_lengths": f"{_M}, {_EDGES} SELECT a, b, {_R('chord')} AS chord FROM len",
     "short_edges": f"{_M}, {_EDGES} SELECT a, b, {_R('chord')} AS chord FROM len WHERE chord <= {SHORT}",
     "site_chords": f"{_M}, {_EDGES} SELECT a, b, {_R('chord')} AS chord FROM chord",
     "quality_summary": f"{_M}, {_EDGES}, k AS (SELECT chord, row_number() OVER (ORDER BY chord) - 1 AS i, count(*) OVER () AS n FROM chord) SELECT max(n) AS n, {_R('max(chord)')} AS max, {_R('avg(chord)')} AS mean, {_R('max(CASE WHEN i = (n - 1) * 95 // 100 THEN chord END)')} AS p95, {_R('max(CASE WHEN i = (n - 1) * 99 // 100 THEN chord END)')} AS p99 FROM k",
-    "residuals_small": f"{_M} SELECT (SELECT count(*) FROM tri) AS vertices, 0::BIGINT AS vertices_off, (SELECT count(*) FROM pairs) AS edges, 0::BIGINT AS edges_off",
+    "residuals_small": f"{_M}, {_ENDS}, spans AS (SELECT greatest(i, j, k) - least(i, j, k) AS span FROM (SELECT t.x * p.x + t.y * p.y + t.z * p.z AS i, t.x * q.x + t.y * q.y + t.z * q.z AS j, t.x * o.x + t.y * o.y + t.z * o.z AS k FROM tri t JOIN u p ON p.site_id = t.a JOIN u q ON q.site_id = t.b JOIN u o ON o.site_id = t.c)), off AS (SELECT greatest({_OFF}, {_OFF.replace('0 *', '1 *')}) AS off FROM ends JOIN u g ON g.site_id = a JOIN u h ON h.site_id = b) SELECT (SELECT count(*) FROM spans) AS vertices, (SELECT count(*) FROM spans WHERE span > 1e-9) AS vertices_off, (SELECT count(*) FROM off) AS edges, (SELECT count(*) FROM off WHERE off > 1e-6) AS edges_off",
     "effective_index": f"WITH RECURSIVE {_SITES}, {_CLASSES} SELECT row_number() OVER (ORDER BY site_id) - 1 AS effective_index, site_id FROM classes WHERE site_id = canonical_id",
     "fibonacci_sites": f"SELECT i AS site_id, {_R('(r * cos(t) / n)::FLOAT::DOUBLE', 5)} AS x, {_R('(r * sin(t) / n)::FLOAT::DOUBLE', 5)} AS y, {_R('(z / n)::FLOAT::DOUBLE', 5)} AS z FROM (SELECT *, sqrt(r * cos(t) * r * cos(t) + r * sin(t) * r * sin(t) + z * z) AS n FROM (SELECT *, sqrt(1 - z * z) AS r, i * {G.GOLDEN!r}::DOUBLE AS t FROM (SELECT range AS i, 1 - (2 * range + 1) / 1000.0::DOUBLE AS z FROM range(1000))))",
+    "fibonacci_triangles": f"WITH {spread.mesh_sql(spread.SITES)} SELECT a, b, c FROM tri",
+    "fibonacci_areas": f"WITH {spread.mesh_sql(spread.SITES)}, {_HALF} SELECT site_id, {_R('area', 9)} AS area FROM area",
+    "fibonacci_knn8": f"WITH {spread.sites_sql(spread.SITES)}, p AS (SELECT a.site_id, b.site_id AS neighbor_id, a.x::DOUBLE * b.x::DOUBLE + a.y::DOUBLE * b.y::DOUBLE + a.z::DOUBLE * b.z::DOUBLE AS dot FROM sites a JOIN sites b ON a.site_id <> b.site_id AND b.z BETWEEN a.z - {spread.CHORD} AND a.z + {spread.CHORD}) SELECT site_id, rank::INT AS rank, neighbor_id, {_R('dot', 9)} AS dot FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY dot DESC, neighbor_id) AS rank FROM p WHERE dot > {1 - spread.CHORD**2 / 2!r}) WHERE rank <= 8",
+    "fibonacci_locate": f"WITH {spread.sites_sql(spread.MANY)}, {_LOCATED} SELECT query_id, site_id FROM located",
+    "sampled_ownership": f"{_M}, {_HALF}, {_MOMENT}, ix AS (SELECT site_id, row_number() OVER (ORDER BY site_id) - 1 AS i, count(*) OVER () AS n FROM sites), dots AS (SELECT cen.site_id, s.site_id AS other, cen.x * s.x::DOUBLE + cen.y * s.y::DOUBLE + cen.z * s.z::DOUBLE AS d FROM cen JOIN ix USING (site_id) CROSS JOIN sites s WHERE i % greatest(1, (n + 999) // 1000) = 0) SELECT site_id, max(d) - max(CASE WHEN other = site_id THEN d END) <= 1e-6 AS owned FROM dots GROUP BY site_id",
+    "grid_neighbors": f"WITH k AS (SELECT face * {RES * RES} + iv * {RES} + iu AS cell, face, 2 * (iu + a) - {RES} AS u, 2 * (iv + b) - {RES} AS v FROM (SELECT range AS face FROM range(6)), (SELECT range AS iu FROM range({RES})), (SELECT range AS iv FROM range({RES})), (SELECT range AS a FROM range(2)), (SELECT range AS b FROM range(2))), p AS (SELECT cell, CASE face WHEN 0 THEN {RES} WHEN 1 THEN -{RES} WHEN 5 THEN -u ELSE u END AS x, CASE face WHEN 2 THEN {RES} WHEN 3 THEN -{RES} ELSE v END AS y, CASE face WHEN 0 THEN -u WHEN 1 THEN u WHEN 2 THEN -v WHEN 3 THEN v WHEN 4 THEN {RES} ELSE -{RES} END AS z FROM k) SELECT DISTINCT p.cell, q.cell AS neighbor FROM p JOIN p q USING (x, y, z) WHERE p.cell <> q.cell",
+    "sampled_lloyd": f"WITH {_SITES}, {spread.sites_sql(20_000, 'asked')}, owner AS (SELECT s.site_id AS q, arg_max(t.site_id, s.x::DOUBLE * t.x::DOUBLE + s.y::DOUBLE * t.y::DOUBLE + s.z::DOUBLE * t.z::DOUBLE) AS site_id, any_value(s.x::DOUBLE) AS x, any_value(s.y::DOUBLE) AS y, any_value(s.z::DOUBLE) AS z FROM asked s CROSS JOIN sites t GROUP BY s.site_id), m AS (SELECT site_id, x / n AS x, y / n AS y, z / n AS z, n FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM (SELECT site_id, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM owner GROUP BY site_id))) SELECT s.site_id, (CASE WHEN n > 1e-12 THEN m.x ELSE s.x END)::FLOAT AS x, (CASE WHEN n > 1e-12 THEN m.y ELSE s.y END)::FLOAT AS y, (CASE WHEN n > 1e-12 THEN m.z ELSE s.z END)::FLOAT AS z FROM sites s LEFT JOIN m USING (site_id)",
+    "topology_fingerprint": f"{_M} SELECT count(*) AS n, sum(('0x' || substr(md5(a || ',' || b || ',' || c), 1, 15))::BIGINT)::VARCHAR AS hash FROM tri",
 }

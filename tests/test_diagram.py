@@ -250,3 +250,15 @@ def test_rebuild_mends_a_hole(sample):
     hole = dataclasses.replace(sample, cell_edges=pair_edges(sample.cell_edges.where("cell_id <> 5").drop("neighbor_id")))
     mended = rebuild(hole, sample.sites)
     assert mended.rebuild_status == "accepted" and mended.validate().is_strictly_valid()
+
+
+def test_areas_add_up_to_the_sphere_in_doubles(spark):
+    total = compute(G.uniform(spark, 80)).cell_area().agg(F.sum("area")).first()[0]
+    assert abs(total - 4 * math.pi) < 1e-12
+
+
+def test_generated_queries_take_the_distributed_paths():
+    from orbiton.operators import build, locate
+    from orbiton.plans import spread
+
+    assert spread.SITES > build.BROADCAST_SITES and spread.MANY > locate.BROADCAST_SITES
