@@ -32,6 +32,9 @@ BAND_ROWS = 4
 #: Hash groups whose shingles are counted for the bound, seven to a long.
 GROUPS = 63
 
+#: Links that one task joins by itself; more are joined in rounds over the cluster.
+ALONE = 400_000
+
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -173,13 +176,38 @@ def _counted(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return spool(sets.select("rep", "groups").join(own, "rep", "left").fillna(0, ["own"]))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct nodes of the edges (a, b), and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        # Of every edge between two trees, the greater root gets the lesser one above it.
+        u, v = root[x], root[y]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """(node, component): the least node reachable, of every node with an edge.
 
-    Alternating large-star and small-star rounds over the edges (a, b), until nothing changes; each
+    Up to alone edges (16 bytes each) are joined by one task, as rounds would only be many small jobs. More
+    go through alternating large-star and small-star rounds over the edges (a, b), until nothing changes; each
     round is a written table. No key gathers its neighbours: both rounds take a minimum by key and
     join it back.
     """
+    if edges.count() <= alone:
+
+        def run(batches):
+            held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+            found = least_reachable(*np.concatenate([np.empty((2, 0), np.int64), *held], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "component"])
+
+        return edges.where("a <> b").select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
     edges = spool(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:

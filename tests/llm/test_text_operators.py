@@ -283,6 +283,25 @@ def test_rows_that_share_an_id_are_kept_by_their_own_text(make_docs):
     assert kept == sorted([(0, prose(60, 1)), (1, prose(60, 2)), (1, prose(60, 4)), (2, prose(60, 3))])
 
 
+def test_components_of_few_links_in_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 900, (2, 500)).tolist()
+    chain = [(i, i + 1) for i in range(5_000, 5_300)]
+    rng.shuffle(chain)
+    edges = [*zip(a, b), *((int(x), int(y)) for x, y in chain), (7, 7), (-3, 900_000)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(400):
+        for x, y in edges:
+            if x != y:
+                least[x] = least[y] = min(least[x], least[y])
+    df, number = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = number()
+    assert {r.node: r.component for r in neardup.components(df).collect()} == least
+    assert number() - before <= 6
+    assert {r.node: r.component for r in neardup.components(df, alone=0).collect()} == least
+    assert neardup.components(df.where("a < -9")).count() == 0
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     r = np.random.default_rng(0)
     a = np.unique(r.integers(0, 1 << 63, 900, dtype=np.uint64))
