@@ -41,9 +41,11 @@ from .common import _BASE, _LETTERS, U64, _power_table, delete, drop_spool, free
 LENGTH = 50
 #: Bytes that an anchor hashes; a window holds LENGTH - K + 1 of them.
 K = 20
-#: Bytes of text in a chunk (a longer document is a chunk of its own) and in one numpy pass.
+#: Bytes of text in a chunk (a longer document is a chunk of its own) and in a block of it.
 CHUNK_BYTES = 8 << 20
 PIECE = 1 << 20
+#: Bytes that are hashed at once: what that takes stays in a core's cache.
+STEP = 1 << 15
 #: Text bytes for one bucket of anchors.
 BUCKET_BYTES = 8 << 20
 #: Symbols that one suffix array orders; whole anchors' strings are packed into arrays of about so many.
@@ -162,27 +164,42 @@ _CHECK_LETTERS = mix64(_LETTERS)
 
 
 def string_hashes(text: np.ndarray, first: np.ndarray, sizes: np.ndarray | int, check: bool = False) -> np.ndarray:
-    """64 bits of each string of text from the ascending places first; with check, other 64 bits. Works on PIECE bytes at a time."""
+    """64 bits of each string of text from the ascending places first; with check, other 64 bits. Works on about STEP bytes at a time."""
     name, base, letters = ("check", _CHECK_BASE, _CHECK_LETTERS) if check else ("", _BASE, _LETTERS)
+    back = pow(base, -1, 1 << 64)
     stop = first + sizes
     out = np.empty(len(first), U64)
     i = 0
     while i < len(first):
-        low = first[i]
-        j = int(np.searchsorted(first, low + PIECE))
-        high = int(stop[i:j].max())
-        n = high - int(low)
-        up, down = _power_table(name or "up", base, n + 1), _power_table(name + "down", pow(base, -1, 1 << 64), n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(letters[text[low:high]] * up[:n], out=total[1:])
-        out[i:j] = mix64((total[stop[i:j] - low] - total[first[i:j] - low]) * down[first[i:j] - low])
+        low = int(first[i])
+        j = int(np.searchsorted(first, low + STEP))
+        a, b = first[i:j] - low, stop[i:j] - low
+        n = int(b.max())
+        up, down = _power_table(name or "up", base, n + 1), _power_table(name + "down", back, n + 1)
+        total = np.empty(n + 1, U64)
+        total[0] = 0
+        value = letters[text[low : low + n]]
+        value *= up[:n]
+        np.cumsum(value, out=total[1:])
+        h = total[b]
+        h -= total[a]
+        h *= down[a]
+        out[i:j] = mix64(h)
         i = j
     return out
 
 
 def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the keys, the first one first, and where in that order a new key starts."""
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0])
+    if len(keys) > 1 and len(order):
+        # The other keys are looked at only where the first is met again.
+        k = keys[0][order]
+        alike = np.zeros(len(k) + 1, bool)
+        alike[1:-1] = k[1:] == k[:-1]
+        tied = np.flatnonzero(alike[1:] | alike[:-1])
+        some = order[tied]
+        order[tied] = some[np.lexsort([k[some] for k in keys[::-1]])]
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -191,6 +208,50 @@ def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _anchor_runs(raw: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each maximal run of windows with one place of the anchor, and the anchor; a run also begins where cut says so."""
+    eight = np.ndarray((len(raw),), "<u8", raw + bytes(8), strides=(1,))
+    need = LENGTH - K + 1
+    firsts, anchors, before = [], [], -1
+    for a in range(0, len(cut), STEP):
+        new = cut[a : a + STEP].copy()
+        m = len(new) + need - 1  # K-byte strings that these windows hold
+        part = eight[a : a + m + K - 8].copy()
+        h = part[:m] * U64(0x9E3779B97F4A7C15)
+        spare = np.empty(m, U64)
+        for j in sorted({*range(8, K - 7, 8), K - 8}):
+            h ^= part[j : j + m]
+            _mix64(h, spare)
+            h *= U64(0x9E3779B97F4A7C15)
+        _mix64(h, spare)
+        low = h & ~_PLACE
+        low |= np.arange(a, a + m, dtype=U64)
+        # Least of each LENGTH - K + 1 neighbours, by doubling.
+        width = 1
+        while width * 2 <= need:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[: len(low) - (need - width)], low[need - width :])
+        low &= _PLACE
+        new[0] |= int(low[0]) != before
+        new[1:] |= low[1:] != low[:-1]
+        before = int(low[-1])
+        at = np.flatnonzero(new)
+        firsts.append(at + a)
+        anchors.append(h[low[at].astype(np.int64) - a])
+    return np.concatenate(firsts), np.concatenate(anchors)
+
+
+def _mix64(x: np.ndarray, spare: np.ndarray) -> None:
+    """mix64() in place."""
+    for _ in range(2):
+        np.right_shift(x, U64(32), out=spare)
+        x ^= spare
+        x *= U64(0xD6E8FEB86659FD93)
+    np.right_shift(x, U64(32), out=spare)
+    x ^= spare
+
+
 class Segments:
     """The segments of one block: anchor, content and check hashes, document number, first window and number of windows.
 
@@ -201,35 +262,18 @@ class Segments:
         self.raw = b"".join(p for _, _, p in block)
         n = len(self.raw)
         buf = np.frombuffer(self.raw, np.uint8)
-        padded = self.raw + bytes(8)
-        eight = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
-        m = n - K + 1
-        h = eight[:m] * U64(0x9E3779B97F4A7C15)
-        for j in sorted({*range(8, K - 7, 8), K - 8}):
-            h = mix64(h ^ eight[j : j + m]) * U64(0x9E3779B97F4A7C15)
-        h = mix64(h)
-        low = (h & ~_PLACE) | np.arange(m, dtype=U64)
-        # Least of each LENGTH - K + 1 neighbours, by doubling.
-        width, need = 1, LENGTH - K + 1
-        while width * 2 <= need:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        low = np.minimum(low[: len(low) - (need - width)], low[need - width :])
-        place = (low & _PLACE).astype(np.int64)
         sizes = np.array([len(p) for _, _, p in block], np.int64)
         start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         last = start + sizes - LENGTH  # a piece's last window
-        cut = np.empty(len(place), bool)
-        cut[0], cut[1:] = True, place[1:] != place[:-1]
+        cut = np.zeros(n - LENGTH + 1, bool)
         cut[start] = True
         after = last + 1
-        cut[after[after < len(place)]] = True
-        first = np.flatnonzero(cut)
-        count = np.diff(np.append(first, len(place)))
+        cut[after[after < len(cut)]] = True
+        first, anchor = _anchor_runs(self.raw, cut)
+        count = np.diff(np.append(first, len(cut)))
         owner = np.searchsorted(start, first, side="right") - 1
         ok = first <= last[owner]
-        self.first, self.count, owner = first[ok], count[ok], owner[ok]
-        self.anchor = h[place[self.first]]
+        self.first, self.count, owner, self.anchor = first[ok], count[ok], owner[ok], anchor[ok]
         if hot is not None and len(hot):
             single = np.isin(self.anchor, hot)
             n = np.where(single, self.count, 1)
@@ -548,7 +592,7 @@ def _cut(chunks: DataFrame, least: DataFrame, with_kept: bool) -> DataFrame:
                             below = p + np.flatnonzero(windows[first_of[k] : first_of[k] + counts[k]] < d)
                             edges[below] += 1
                             edges[below + LENGTH] -= 1
-                gone = np.cumsum(edges[:-1]) > 0
+                gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
                 rows = []
                 for doc_id, text, a, b in zip(ids.tolist(), texts, start.tolist(), start[1:].tolist()):
                     cut = gone[a:b]

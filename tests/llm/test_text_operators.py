@@ -611,6 +611,28 @@ def test_cuts_equal_brute_force(make_docs, odd_texts, monkeypatch, chunk, ordere
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want and r.kept_sha256 == hashlib.sha256(want[3]).hexdigest()
 
 
+def test_segments_are_hashed_in_steps(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 100, n, np.uint8).tobytes() for n in (400_000, 49, 50, 600_000, 51)] + [b"z" * 3_000]
+    block = next(suffix_dedup._pieces(texts))
+    assert [i for i, _, _ in block] == [0, 2, 3, 4, 5]
+    suffix_dedup.Segments(block, np.empty(0, np.uint64))  # its tables of powers stay
+    tracemalloc.start()
+    want = suffix_dedup.Segments(block, np.empty(0, np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # before: several arrays of 8 bytes for each byte of the block
+    strings = [(block_doc, texts[block_doc][w : w + c + 49]) for block_doc, w, c in zip(want.doc.tolist(), want.window.tolist(), want.count.tolist())]
+    assert sum(len(x) - 49 for _, x in strings) == sum(max(0, len(t) - 49) for t in texts)
+    assert len({x for _, x in strings}) == len(set(zip(want.content.tolist(), want.check.tolist())))
+    for step in (64, 1_000):
+        monkeypatch.setattr(suffix_dedup, "STEP", step)
+        got = suffix_dedup.Segments(block, np.empty(0, np.uint64))
+        assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("anchor", "content", "check", "doc", "window", "count", "first"))
+
+
 def test_classes_come_from_the_suffix_order(monkeypatch):
     common = "the quick brown fox jumps over the lazy dog, twice a day and more"
     texts = [x.encode() for x in ("aaaaaaaa" + common, common + "b", "c" + common[:60], common[3:] + "zzzz")]
