@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,10 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 from .pretokens import PieceEncoder, text_blocks
 
+#: Bytes of pre-tokens that are merged in one queue; a longer one stands alone.
+BATCH = 1 << 17
+#: In a list of ids: a byte that is no token, and one that was merged into the token before it.
+_NO_ID, _GONE = -2, -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,7 +28,7 @@ class RankQueue:
 
     A bit of `leaf` says that a rank's bucket has positions; a bit of `inner` that a leaf word is not
     zero; `top` the same of inner. The lowest rank is found by three find-first-set steps. Positions of
-    a bucket come out from the left.
+    a bucket come out from the left, one by one or all at once.
     """
 
     def __init__(self, n_ranks: int):
@@ -35,12 +37,13 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def put(self, rank: int, positions: list[int]) -> None:
+        """Queue one or more positions; the list is the queue's from now on."""
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket += positions
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = positions
         j = rank >> 6
         word = self.leaf[j]
         self.leaf[j] = word | 1 << (rank & 63)
@@ -48,23 +51,31 @@ class RankQueue:
             self.inner[j >> 6] |= 1 << (j & 63)
             self.top |= 1 << (j >> 6)
 
-    def pop(self) -> tuple[int, int]:
+    def push(self, rank: int, position: int) -> None:
+        self.put(rank, [position])
+
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest rank and all its positions, ascending."""
         top = self.top
         i = (top & -top).bit_length() - 1
         word = self.inner[i]
         j = i << 6 | (word & -word).bit_length() - 1
         bits = self.leaf[j]
         rank = j << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
+        bucket = self.buckets.pop(rank)
         self.leaf[j] = bits = bits & (bits - 1)
         if not bits:
             self.inner[i] = word = word & (word - 1)
             if not word:
                 self.top = top & (top - 1)
-        return rank, bucket[0]
+        bucket.sort()
+        return rank, bucket
+
+    def pop(self) -> tuple[int, int]:
+        rank, positions = self.take()
+        if len(positions) > 1:
+            self.put(rank, positions[1:])
+        return rank, positions[0]
 
 
 class Codec:
@@ -81,49 +92,103 @@ class Codec:
             self.bytes_of[rank] = piece
         # White_Space as the rank files' own library takes it, whatever `\s` is here.
         split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.pieces = PieceEncoder(pattern, split, lambda words: [array("I", self.merge(w.encode())).tobytes() for w in words], limit=120_000, words=600_000)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: always the lowest rank first, leftmost on ties."""
-        ranks, n = self.ranks, len(piece)
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        queue, get = self.queue, ranks.get
-        push, pop = queue.push, queue.pop
-        following, previous, rank_at = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                rank_at[i] = r
-                push(r, i)
+        byte_ids = [ranks.get(bytes([b]), _NO_ID) for b in range(256)]
+        self.byte_ids = np.array(byte_ids, np.int32)
+        self.pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        self.pieces = PieceEncoder(pattern, split, lambda words: self.merge([w.encode() for w in words]), limit=120_000, words=600_000)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as bytes; those that are no token are merged many at once."""
+        out = [b""] * len(pieces)
+        some, held = [], 0
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif piece:
+                if some and held + len(piece) > BATCH:
+                    self._merge(pieces, some, out)
+                    some, held = [], 0
+                some.append(k)
+                held += len(piece)
+        if some:
+            self._merge(pieces, some, out)
+        return out
+
+    def _merge(self, pieces: list[bytes], some: list[int], out: list[bytes]) -> None:
+        """Put the ids of some of the pieces into out: in each always the lowest rank first, leftmost on ties.
+
+        All are in one queue, as they don't touch each other: the lowest rank of all is taken with all its positions.
+        """
+        data = b"".join([pieces[k] for k in some])
+        n = len(data)
+        sizes = np.fromiter((len(pieces[k]) for k in some), np.int64, len(some))
+        first = np.cumsum(sizes) - sizes
+        # Where a piece begins, and behind the last.
+        begins = bytearray(n + 1)
+        np.frombuffer(begins, np.uint8)[first] = 1
+        begins[n] = 1
+        codes = np.frombuffer(data, np.uint8)
+        pairs = np.append(self.pairs[codes[:-1].astype(np.int32) << 8 | codes[1:]], [-1, -1]).astype(np.int32)
+        pairs[first[1:] - 1] = -1
+        at = np.flatnonzero(pairs >= 0)
+        at = at[np.argsort(pairs[at], kind="stable")]
+        queue, get = self.queue, self.ranks.get
+        buckets, put, take = queue.buckets, queue.put, queue.take
+        if len(at):
+            new = np.flatnonzero(np.diff(pairs[at], prepend=-1))
+            for rank, positions in zip(pairs[at[new]].tolist(), np.split(at, new[1:])):
+                put(rank, positions.tolist())
+        rank_at, ids = pairs.tolist(), self.byte_ids[codes].tolist()
+        following, previous = list(range(1, n + 1)), list(range(-1, n))
         while queue.top:
-            r, i = pop()
-            if rank_at[i] != r:  # a neighbour was merged since: stale
-                continue
-            mid = following[i]
-            following[i] = end = following[mid]
-            rank_at[mid] = rank_at[i] = -1
-            if end < n:
-                previous[end] = i
-                r = get(piece[i : following[end]])
-                if r is not None:
-                    rank_at[i] = r
-                    push(r, i)
-            if i:
-                p = previous[i]
-                r = get(piece[p:end])
+            rank, positions = take()
+            lower = False
+            for k, i in enumerate(positions):
+                if rank_at[i] != rank:  # a neighbour was merged since: stale
+                    continue
+                mid = following[i]
+                following[i] = end = following[mid]
+                ids[i], ids[mid], rank_at[mid] = rank, _GONE, -1
+                r = None
+                if not begins[end]:
+                    previous[end] = i
+                    r = get(data[i : following[end]])
                 if r is None:
-                    rank_at[p] = -1
-                elif r != rank_at[p]:
-                    rank_at[p] = r
-                    push(r, p)
-        out, i = [], 0
-        while i < n:
-            j = following[i]
-            out.append(ranks[piece[i:j]])
-            i = j
-        return out
+                    rank_at[i] = -1
+                else:
+                    rank_at[i] = r
+                    lower = r < rank
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        put(r, [i])
+                if not begins[i]:
+                    p = previous[i]
+                    r = get(data[p:end])
+                    if r is None:
+                        rank_at[p] = -1
+                    else:
+                        rank_at[p] = r
+                        lower |= r < rank
+                        if r in buckets:
+                            buckets[r].append(p)
+                        else:
+                            put(r, [p])
+                if lower:  # it comes before what is left of this rank
+                    if k + 1 < len(positions):
+                        put(rank, positions[k + 1 :])
+                    break
+        ids = np.array(ids, np.int32)
+        if (ids == _NO_ID).any():
+            raise KeyError("a byte that is no token")
+        left = ids != _GONE
+        stop = 4 * np.cumsum(np.add.reduceat(left, first, dtype=np.int64))
+        coded = ids[left].astype("<u4").tobytes()
+        a = 0
+        for k, b in zip(some, stop.tolist()):
+            out[k] = coded[a:b]
+            a = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

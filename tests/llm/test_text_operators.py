@@ -56,6 +56,37 @@ def test_very_long_pre_tokens():
         assert np.frombuffer(c.encode([t])[0], "<u4").tolist() == k.encode_ordinary(t)
 
 
+def naive_merge(ranks, piece):
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_many_pre_tokens_are_merged_in_one_queue(monkeypatch, shuffled):
+    r = np.random.default_rng(6)
+    tokens = sorted({r.choice(list(b"abc"), n).astype(np.uint8).tobytes() for n in (1, 2, 3, 4, 6) for _ in range(30)} | {b"a", b"b", b"c"}, key=len)
+    # Shuffled: ranks that no training gives, where a merge can make a pair of a lower rank.
+    order = r.permutation(len(tokens)) if shuffled else np.arange(len(tokens))
+    ranks = {t: int(i) * 70 for t, i in zip(tokens, order)}
+    c = byte_bpe.Codec(ranks, P.PATTERN)
+    pieces = [r.choice(list(b"abc"), n).astype(np.uint8).tobytes() for n in r.integers(1, 30, 3_000)] + [b"", b"a", b"ab" * 500]
+    want, calls, take = [naive_merge(ranks, x) if x else [] for x in pieces], [], c.queue.take
+    monkeypatch.setattr(c.queue, "take", lambda: calls.append(1) or take())
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.merge(pieces)] == want
+    assert shuffled or len(calls) <= len(ranks)  # before: one for each merge
+    monkeypatch.setattr(byte_bpe, "BATCH", 100)
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.merge(pieces)] == want and not c.queue.top
+    with pytest.raises(KeyError):
+        c.merge([b"axa"])
+
+
 # Token output -------------------------------------------------------------------------------------------
 
 
