@@ -23,6 +23,8 @@ PIECES = 300_000
 WORDS = 2_000_000
 #: Longer pre-tokens (in characters) and words (in bytes) are not remembered.
 LONGEST = 40
+#: Words whose ids are gathered at once.
+STEP = 1 << 15
 #: Characters of texts in a block; a longer text stands alone.
 BLOCK_CHARS = 6 << 20
 
@@ -147,7 +149,10 @@ class PieceEncoder:
         usual = (length > 0) & (length <= LONGEST)
         usual[usual] = (data[places[:-1][usual]] > 10) & (data[places[1:][usual] - 1] > 10)
         high, low = word_hashes(data, places[:-1], np.minimum(length, LONGEST))
-        at = np.searchsorted(self.high, high)
+        # In ascending order, as a search then finds in the cache what the last one read.
+        by = np.argsort(high)
+        at = np.empty(len(high), np.int64)
+        at[by] = np.searchsorted(self.high, high[by])
         at[at == len(self.high)] = 0
         hit = usual & (self.high[at] == high) & (self.low[at] == low) if len(self.high) else np.zeros(len(length), bool)
         first, size = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
@@ -156,13 +161,16 @@ class PieceEncoder:
         flat, size[new] = self._new(cut.dictionary.take(pa.array(new)).to_pylist())
         first[new] = np.cumsum(size[new]) - size[new] + len(self.flat)
         self.flat = np.concatenate((self.flat, flat))
-        last = [self._word(x, alone, end) for x in cut.dictionary.take(pa.array(rest)).to_pylist()]
+        last = self._rest(cut.dictionary.take(pa.array(rest)).to_pylist(), alone, end)
         size[rest] = [len(x) >> 2 for x in last]
         first[rest] = np.cumsum(size[rest]) - size[rest] + len(self.flat)
         flat = np.concatenate((self.flat, np.frombuffer(b"".join(last), "<u4")))
         n = size[which]
         stop = np.cumsum(n)
-        ids = flat[np.repeat(first[which] - stop + n, n) + np.arange(stop[-1])]
+        ids = np.empty(stop[-1], "<u4")
+        for a in range(0, len(n), STEP):
+            part, begin, upto = n[a : a + STEP], int(stop[a] - n[a]), int(stop[min(a + STEP, len(n)) - 1])
+            ids[begin:upto] = flat[np.repeat(first[which[a : a + STEP]] - stop[a : a + STEP] + part, part) + np.arange(begin, upto)]
         ends = stop[np.flatnonzero(which == which[-1])]
         # Remember the new words; one whose first half is taken stays unknown.
         if len(self.high) + len(new) > (WORDS if self.words is None else self.words):
@@ -186,9 +194,20 @@ class PieceEncoder:
         heads = np.flatnonzero(np.frombuffer((" " + joined).encode("utf-32-le"), "<u4")[np.concatenate(([1], starts[:-1] + 1))] == 32)
         return np.frombuffer(b"".join(coded), "<u4"), np.add.reduceat(sizes, heads)
 
-    def _word(self, word: str, alone: list[str], end: bytes) -> bytes:
-        if word == _END:
-            return end
-        if word[:1] == _ALONE:
-            return self._alone(alone[int(word[1:])])
-        return b"".join(self._coded(self.split_plain(word[1:] if word[:1] == _FIRST else " " + word)))
+    def _rest(self, words: list[str], alone: list[str], end: bytes) -> list[bytes]:
+        """The ids of each other word: a mark, a text's first word, one that is long or has white space at an end.
+
+        The pre-tokens of all are looked up at once.
+        """
+        out, at, cuts, pieces = [end] * len(words), [], [0], []
+        for i, word in enumerate(words):
+            if word[:1] == _ALONE:
+                out[i] = self._alone(alone[int(word[1:])])
+            elif word != _END:
+                at.append(i)
+                pieces += self.split_plain(word[1:] if word[:1] == _FIRST else " " + word)
+                cuts.append(len(pieces))
+        coded = self._coded(pieces)
+        for i, a, b in zip(at, cuts, cuts[1:]):
+            out[i] = b"".join(coded[a:b])
+        return out

@@ -140,6 +140,18 @@ def test_blocks_are_encoded_as_their_texts(texts, words):
         pretokens.WORDS = before
 
 
+def test_a_block_looks_its_pre_tokens_up_at_once(monkeypatch):
+    t, e = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_output._load(P.path("byte_bpe_50k.json"), P.PATTERN, True)
+    texts = [f"First{i}st line\nof{i} two  and {'x' * 50}{i}\n" for i in range(300)] + ["", " ", "   odd", "日本"]
+    calls, lookup = [], e._coded
+    monkeypatch.setattr(e, "_coded", lambda pieces: calls.append(len(pieces)) or lookup(pieces))
+    monkeypatch.setattr(pretokens, "STEP", 7)
+    ids, n = e.encode(texts, np.array([2], "<u4").tobytes())
+    assert np.split(ids, np.cumsum(n)[:-1])[-1].tolist() == t.encode("日本").ids + [2]
+    assert ids.tolist() == [x for text in texts for x in t.encode(text, add_special_tokens=False).ids + [2]]
+    assert len(calls) <= 5  # before: one for each first, long or odd word
+
+
 def test_token_corpus_of_nothing_and_of_repeats(make_docs):
     run = lambda docs: token_output.token_corpus(docs, P.path("byte_bpe_50k.json"), P.PATTERN, 2, 50_257)
     assert run(make_docs([])).count() == 0
