@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import dataclasses
+import math
+from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -15,9 +18,6 @@ from ..tables import components, dense_ids, is_empty, written
 from .build import cell_edges, pair_edges
 from .diagram import SphericalVoronoi
 
-#: Candidate edges that the ordered, greedy simplification takes to the driver.
-MOST_CANDIDATES = 200_000
-
 
 def zero_edges(d: SphericalVoronoi) -> DataFrame:
     """(v0, v1), v0 < v1: edges whose distinct ends have equal stored (32-bit) coordinates."""
@@ -160,55 +160,105 @@ def simplify(d: SphericalVoronoi, threshold: float) -> SphericalCellMesh:
 
     Candidates are taken shortest first. Two clusters with radii ra, rb and representatives at distance d
     join if max(ra, d + rb) or max(rb, d + ra) stays within the threshold, the smaller one wins; ties keep the
-    larger cluster, then the lower id. The order matters, so the candidate list, whose size is checked, is
-    worked on in one place. Contractions that would kill a cell are not made.
+    larger cluster, then the lower id. The order matters, so all candidates and the cells about them are
+    worked on in one place, as arrays (`contract_in_order`). Contractions that would kill a cell are not made,
+    nor those after which two edges had the same ends or a cell touched itself.
     """
     threshold = check_simplification_threshold(threshold)
-    listed = short_edges(d, threshold).orderBy("chord2", "v0", "v1").limit(MOST_CANDIDATES + 1).collect()
-    if len(listed) > MOST_CANDIDATES:
-        raise CellElisionError("unrepresentable", f"more than {MOST_CANDIDATES} candidate edges")
-    spark = d.sites.sparkSession
-    ends = sorted({v for r in listed for v in (r["v0"], r["v1"])})
-    report = {"candidates": len(listed), "contracted": 0, "max_displacement": 0.0}
-    if not ends:
+    listed = written(short_edges(d, threshold))
+    table = listed.toArrow()
+    report = {"candidates": table.num_rows, "contracted": 0, "max_displacement": 0.0}
+    if not table.num_rows:
         return as_mesh(d, report)
-    wanted = spark.createDataFrame([(v,) for v in ends], "vertex_id long")
-    place = {r["vertex_id"]: np.array([r["x"], r["y"], r["z"]]) for r in d.vertices.join(wanted, "vertex_id", "left_semi").collect()}
-    cells: dict[int, set[int]] = {}
-    size: dict[int, int] = {}
-    hit = d.cell_edges.join(wanted.withColumnRenamed("vertex_id", "v0"), "v0", "left_semi").select("cell_id", "v0")
-    for r in hit.collect():
-        cells.setdefault(r["v0"], set()).add(r["cell_id"])
-    for r in d.cell_edges.join(hit.select("cell_id").distinct(), "cell_id", "left_semi").groupBy("cell_id").agg(F.countDistinct("v0").alias("k")).collect():
-        size[r["cell_id"]] = r["k"]
-    parent, radius, members = {v: v for v in ends}, dict.fromkeys(ends, 0.0), dict.fromkeys(ends, 1)
-
-    def root(v):
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    for r in listed:
-        a, b = root(r["v0"]), root(r["v1"])
-        if a == b:
+    ends = listed.select(F.col("v0").alias("vertex_id")).union(listed.select("v1")).distinct()
+    hit = d.cell_edges.join(ends.withColumnRenamed("vertex_id", "v0"), "v0", "left_semi").select("cell_id").distinct()
+    around = d.cell_edges.join(hit, "cell_id", "left_semi").select("cell_id", "pos", "v0", "v1").toArrow()
+    places = d.vertices.join(ends, "vertex_id", "left_semi").select("vertex_id", "x", "y", "z").toArrow()
+    columns = lambda t: [t[c].to_numpy() for c in t.column_names]
+    gone, kept, report["max_displacement"] = contract_in_order(columns(table), columns(around), columns(places), threshold)
+    report["contracted"] = len(gone)
+    merge = d.sites.sparkSession.createDataFrame(pa.table({"vertex_id": gone, "to": kept}))
+    edges = written(pair_edges(quotient(d.cell_edges, merge)))
+    return as_mesh(dataclasses.replace(d, cell_edges=edges), report)
+
+
+def contract_in_order(listed: list[np.ndarray], around: list[np.ndarray], places: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vertices that went, the representative of each, and the largest displacement bound.
+
+    listed: chord2, v0, v1 of the candidates; around: cell_id, pos, v0, v1 of all edges of the cells that meet
+    one; places: vertex_id, x, y, z of their ends. Each edge of a cell knows its neighbours in the cell and its
+    twin in the other cell, so that a contraction touches only the stars of its ends.
+    """
+    chord2, v0, v1 = listed
+    order = np.lexsort((v1, v0, chord2))
+    cell_id, pos, start, end = around
+    by = np.lexsort((pos, cell_id))
+    ids, index = np.unique(np.concatenate((start[by], end[by])), return_inverse=True)
+    n, m = len(by), len(ids)
+    start, end = index[:n], index[n:]
+    first = np.flatnonzero(np.diff(cell_id[by], prepend=cell_id[by][0] - 1))
+    sizes = np.diff(first, append=n)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[first + sizes - 1], before[first] = first, first + sizes - 1
+    code = start * m + end
+    sort = np.argsort(code)
+    ranked = code[sort]
+
+    def numbers(wanted: np.ndarray) -> np.ndarray:
+        """The edge of each code, -1 unless there is just one."""
+        lo, hi = np.searchsorted(ranked, wanted), np.searchsorted(ranked, wanted, side="right")
+        return np.where(hi - lo == 1, sort[np.minimum(lo, n - 1)], -1)
+
+    at = np.searchsorted(ids, v0)[order], np.searchsorted(ids, v1)[order]
+    forth, back = numbers(at[0] * m + at[1]), numbers(at[1] * m + at[0])
+    wanted = np.where((forth >= 0) & (back >= 0), forth, -1)
+    place = np.zeros((m, 3))
+    place[np.searchsorted(ids, places[0])] = np.stack(places[1:], axis=1)
+    flat = lambda a, kind="q": array(kind, np.ascontiguousarray(a, np.int64 if kind == "q" else np.float64).tobytes())
+    origin, next_, prior, size = flat(start), flat(after), flat(before), flat(sizes)
+    twin, cell = flat(numbers(end * m + start)), flat(np.repeat(np.arange(len(first)), sizes))
+    x, y, z = (flat(place[:, i], "d") for i in range(3))
+    radius, members, to = flat(np.zeros(m), "d"), flat(np.ones(m)), flat(np.arange(m))
+    most = 0.0
+
+    def star(h: int) -> list[int]:
+        """The edges that start where h does; none if they don't close."""
+        out, e = [h], twin[prior[h]]
+        while e != h:
+            if e < 0:
+                return []
+            out.append(e)
+            e = twin[prior[e]]
+        return out
+
+    for h in wanted.tolist():
+        t = twin[h] if h >= 0 else -1
+        if t < 0 or size[cell[h]] <= 3 or size[cell[t]] <= 3:
+            continue
+        a, b = origin[h], origin[t]
+        gap = math.sqrt((x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 + (z[a] - z[b]) ** 2)
+        options = sorted((r, -members[k], k) for r, k in ((max(radius[a], gap + radius[b]), a), (max(radius[b], gap + radius[a]), b)) if r <= threshold)
+        if not options:
             continue
-        gap = float(np.linalg.norm(place[a] - place[b]))
-        options = sorted((m, -members[k], k) for m, k in ((max(radius[a], gap + radius[b]), a), (max(radius[b], gap + radius[a]), b)) if m <= threshold)
-        shared = cells[a] & cells[b]
-        if not options or any(size[c] <= 3 for c in shared):
+        here, there = star(h), star(t)
+        if not here or not there or len({cell[e] for e in here} & {cell[e] for e in there}) != 2:
+            continue
+        if not {origin[next_[e]] for e in here}.isdisjoint([origin[next_[e]] for e in there]):
             continue
         reach, _, keep = options[0]
         gone = b if keep == a else a
-        parent[gone], radius[keep], members[keep] = keep, reach, members[a] + members[b]
-        for c in shared:
-            size[c] -= 1
-        cells[keep] = cells[a] | cells[b]
-        report["contracted"] += 1
-        report["max_displacement"] = max(report["max_displacement"], reach)
-    merge = spark.createDataFrame([(v, root(v)) for v in ends], "vertex_id long, to long")
-    edges = written(pair_edges(quotient(d.cell_edges, merge)))
-    out = as_mesh(dataclasses.replace(d, cell_edges=edges), report)
-    return out
+        for e in there if keep == a else here:
+            origin[e] = keep
+        for e in (h, t):
+            next_[prior[e]], prior[next_[e]] = next_[e], prior[e]
+            size[cell[e]] -= 1
+        to[gone], radius[keep], members[keep] = keep, reach, members[a] + members[b]
+        most = max(most, reach)
+    root = np.frombuffer(to, np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    moved = np.flatnonzero(root != np.arange(m))
+    return ids[moved], ids[root[moved]], most
 
 
 def elide_zero_edges(d: SphericalVoronoi) -> SphericalCellMesh:
